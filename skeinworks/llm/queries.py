@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import components
+from . import components, leakage, neighbours, splitting
 
 
 def p2_found(spark, d):
@@ -11,8 +11,20 @@ def p2_found(spark, d):
     return components.group_mentions(t("pair_decisions"), t("blocked_merges"), t("mentions"))
 
 
+def p3_found(spark, d):
+    return splitting.oversized(table(spark, d, "chunks"))
+
+
+def p7_found(spark, d):
+    return neighbours.mutual_neighbours(table(spark, d, "mentions"))
+
+
+def p8_found(spark, d):
+    return leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries():
-    return {"p2_found": p2_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql():
