@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import components, leakage, neighbours, splitting
+from . import answers, components, leakage, neighbours, splitting
 
 
 def p2_found(spark, d):
@@ -15,6 +15,10 @@ def p3_found(spark, d):
     return splitting.oversized(table(spark, d, "chunks"))
 
 
+def p6_found(spark, d):
+    return answers.defective_answers(table(spark, d, "answers"), table(spark, d, "questions"))
+
+
 def p7_found(spark, d):
     return neighbours.mutual_neighbours(table(spark, d, "mentions"))
 
@@ -24,7 +28,7 @@ def p8_found(spark, d):
 
 
 def queries():
-    return {"p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql():
