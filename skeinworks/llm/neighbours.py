@@ -205,6 +205,28 @@ def _unit(v: pa.Array, dim: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _collapse(vectors: DataFrame, k: int, stage: Stage, small: int = 200_000) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Points of the index, copies ``(id, rep, ids)`` of any of them, and ``(rep, ids)``.
+
+    Only hashes of the vectors are shuffled to find copies; a side is broadcast when it
+    has at most ``small`` rows. ``ids`` are the first ``k + 1`` ids of a vector, ``rep``
+    the first; they are picked in two steps over salted parts, so a vector that a
+    third of all rows share is no single task's.
+    """
+    near = lambda df: F.broadcast(df) if df.count() <= small else df
+    hashed = vectors.withColumn("h", F.xxhash64("v"))
+    dups = stage.write(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "dups")
+    if dups.isEmpty():
+        return vectors, None, None
+    copies = stage.write(hashed.join(near(dups), "h").select("id", "v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")), "copies")
+    few = lambda df, *by: df.withColumn("r", F.expr(f"row_number() over (partition by {', '.join(by)} order by id)")).where(f"r <= {k + 1}").drop("r")
+    first = few(few(copies, "v", "salt"), "v").groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).where("size(ids) > 1")
+    first = stage.write(first.select("v", F.col("ids")[0].alias("rep"), "ids"), "first")
+    members = stage.write(copies.join(near(first), "v").select("id", "rep", "ids"), "members")
+    others = members.where("id <> rep").select("id")
+    return vectors.join(near(others), "id", "left_anti"), members, first.select("rep", "ids")
+
+
 def nearest(
     vectors: DataFrame, dim: int, k: int, max_distance: float = 2.0, m: int = 6, p: float = 0.95, cell_rows: int = 65536, sample_rows: int = 20000, stage: Stage | None = None
 ) -> DataFrame:
@@ -221,7 +243,7 @@ def nearest(
     """
     spark = vectors.sparkSession
     stage = stage or Stage(spark, "neighbours")
-    points = stage.write(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "points")
+    points, members, reps = _collapse(vectors, k, stage)
     n = points.count()
     schema = "cell int, home boolean, id string, v array<float>"
     cells = max(1, -(-n // cell_rows))
@@ -261,21 +283,18 @@ def nearest(
 
     routed = points.select("id", "v").mapInArrow(route, schema)
     found = routed.groupBy("cell").applyInArrow(solve, "id string, neighbour string, cosine double")
-    # copies: each stands in for its point, and its fellow copies come first
-    group = points.where("copies > 1").select("v")
-    salted = vectors.join(group, "v").select("v", "id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
-    few = lambda df, *by: df.withColumn("r", F.expr(f"row_number() over (partition by {', '.join(by)} order by id)")).where(f"r <= {k + 1}").drop("r")
-    first = stage.write(few(few(salted, "v", "salt"), "v").groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "copies")
-    members = vectors.join(first, "v").select("id", F.col("ids")[0].alias("rep"), "ids")
-    fellows = members.select("id", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("cosine")).where("id <> neighbour")
-    reps = first.select(F.col("ids")[0].alias("rep"), "ids")
-    for_others = found.join(reps.withColumnRenamed("rep", "neighbour"), "neighbour", "left").select(
-        "id", F.explode(F.coalesce("ids", F.array("neighbour"))).alias("neighbour"), "cosine"
-    )
-    every = for_others.join(members.select(F.col("id").alias("member"), F.col("rep").alias("id")), "id", "left").select(
-        F.coalesce("member", "id").alias("id"), "neighbour", "cosine"
-    )
-    lists = every.unionByName(fellows)
+    if members is None:
+        lists = found
+    else:
+        # a copy stands in for its point, and its fellow copies come first
+        fellows = members.select("id", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("cosine")).where("id <> neighbour")
+        for_others = found.join(reps.withColumnRenamed("rep", "neighbour"), "neighbour", "left").select(
+            "id", F.explode(F.coalesce("ids", F.array("neighbour"))).alias("neighbour"), "cosine"
+        )
+        every = for_others.join(members.select(F.col("id").alias("member"), F.col("rep").alias("id")), "id", "left").select(
+            F.coalesce("member", "id").alias("id"), "neighbour", "cosine"
+        )
+        lists = every.unionByName(fellows)
     ranked = lists.selectExpr("*", "row_number() over (partition by id order by cosine desc, neighbour) as rank")
     return ranked.where(F.col("rank") <= k)
 
