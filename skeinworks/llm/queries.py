@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import answers, components, leakage, neighbours, splitting
+from . import answers, components, leakage, neighbours, quantiles, reading, splitting
 
 
 def p2_found(spark, d):
@@ -15,6 +15,20 @@ def p3_found(spark, d):
     return splitting.oversized(table(spark, d, "chunks"))
 
 
+def p4_found(spark, d):
+    return quantiles.wrong_p95(table(spark, d, "retrievals"), table(spark, d, "request_efficiency_by_builder_and_regime"))
+
+
+def p4_percentiles(spark, d):
+    """Medians and high percentiles of both latencies per run, builder and regime."""
+    parts = []
+    for name, key, at in (("retrievals", "retrieval_result_id", "retrieved_at"), ("answers", "answer_result_id", "answered_at")):
+        r = quantiles.latency_readings(table(spark, d, name), key, at)
+        parts.append(quantiles.sketch(r, quantiles.KEYS, "latency_ms").selectExpr(f"'{name}' as kind", "*"))
+    by = ("kind", *quantiles.KEYS)
+    return quantiles.percentiles(parts[0].unionByName(parts[1]), by, [0.5, 0.9, 0.95, 0.99])
+
+
 def p6_found(spark, d):
     return answers.defective_answers(table(spark, d, "answers"), table(spark, d, "questions"))
 
@@ -27,8 +41,12 @@ def p8_found(spark, d):
     return leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark, d):
+    return reading.bands(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
 def queries():
-    return {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found}
 
 
 def oracle_sql():
