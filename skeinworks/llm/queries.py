@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import answers, components, leakage, neighbours, quantiles, reading, splitting
+from . import answers, components, leakage, mixing, neighbours, quantiles, reading, splitting
 
 
 def p2_found(spark, d):
@@ -41,12 +41,20 @@ def p8_found(spark, d):
     return leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_mixture(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[0]
+
+
+def p9_shares(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[1]
+
+
 def p10_found(spark, d):
     return reading.bands(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
 def queries():
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 
 def oracle_sql():
