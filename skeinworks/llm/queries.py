@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import answers, components, leakage, mixing, neighbours, quantiles, reading, splitting
+from . import answers, components, leakage, mixing, neighbours, quantiles, reading, splitting, survivors
 
 
 def p2_found(spark, d):
@@ -29,6 +29,14 @@ def p4_percentiles(spark, d):
     return quantiles.percentiles(parts[0].unionByName(parts[1]), by, [0.5, 0.9, 0.95, 0.99])
 
 
+def p5_found(spark, d):
+    return survivors.surviving_mentions(table(spark, d, "mentions"), table(spark, d, "builder_trust"))
+
+
+def p5_records(spark, d):
+    return survivors.surviving_records(table(spark, d, "mentions"), table(spark, d, "builder_trust"))
+
+
 def p6_found(spark, d):
     return answers.defective_answers(table(spark, d, "answers"), table(spark, d, "questions"))
 
@@ -54,7 +62,7 @@ def p10_found(spark, d):
 
 
 def queries():
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 
 def oracle_sql():
