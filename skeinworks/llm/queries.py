@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import answers, components, leakage, mixing, neighbours, quantiles, reading, splitting, survivors
+from . import answers, components, leakage, mixing, names, neighbours, quantiles, reading, splitting, survivors
+
+
+def p1_found(spark, d):
+    return names.variant_pairs(table(spark, d, "mentions"))
 
 
 def p2_found(spark, d):
@@ -62,7 +66,7 @@ def p10_found(spark, d):
 
 
 def queries():
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 
 def oracle_sql():
