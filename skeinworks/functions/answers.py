@@ -10,6 +10,7 @@ from decimal import Decimal
 import pandas as pd
 import regex as re
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ABSTAIN = "INSUFFICIENT_INFORMATION"
 
@@ -119,7 +120,7 @@ def normalize(s: str | None) -> str:
 
 
 def _udf(f):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: f(None if x is None or x is pd.NA or isinstance(x, float) else x))
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from . import q_graph, q_metrics, q_resolution, q_text  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["question_metrics"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
