@@ -303,3 +303,58 @@ def question_rr_harm(t):
 def event_windows(t):
     e = t("events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return e.select(F.col("window.start").cast("timestamp_ntz").alias("hour_start"), "event_type", "n", "total")
+
+
+@query(
+    f"with {R}, {_RM}, p as (select unnest(gold_document_ids) as document_id, question_id from questions), q as (select document_id, count(*) as k from p group by 1) select case when q.k is null then 'unused' else 'gold' end as role, count(*)::bigint as documents, coalesce(sum(q.k), 0)::bigint as links from documents d left join q using (document_id) group by 1"
+)
+def role_and_links(t):
+    q = t("questions").select(F.explode("gold_document_ids").alias("document_id")).groupBy("document_id").agg(F.count(F.lit(1)).alias("k"))
+    j = t("documents").select("document_id").join(q, "document_id", "left")
+    return j.groupBy(F.when(F.col("k").isNull(), "unused").otherwise("gold").alias("role")).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("k"), F.lit(0)).alias("links"))
+
+
+@query(
+    "with q as (select question_type, question_id, row_number() over (partition by question_type order by substr(sha256('seed' || chr(0) || question_id), 1, 16), question_id) as n from questions where question_type is not null) select question_type, question_id from q where n <= 25"
+)
+def stratified_questions(t):
+    from ..operators import selection
+
+    q = t("questions").select("question_type", "question_id").where("question_type is not null")
+    kinds = [r[0] for r in q.select("question_type").distinct().limit(1000).collect()]
+    return selection.stratified_sample(q, "question_type", "question_id", dict.fromkeys(kinds, 25), "seed")
+
+
+@query(
+    f"with {R}, {_RM}, e as (select retrieval_result_id, unnest(f) as d, unnest(range(len(f))) as p from rm), o as (select split_part(source, ' ', 2) as kind, count(*) as n from e join documents on document_id = d group by 1) select coalesce(kind, '(none)') as publisher_kind, n::bigint as retrieved from o"
+)
+def retrieved_publishers(t):
+    e = _retrievals(t).select(F.explode("retrieved_document_ids").alias("document_id"))
+    kind = F.coalesce(F.split_part("source", F.lit(" "), F.lit(2)), F.lit("(none)"))
+    return e.join(t("documents").select("document_id", "source"), "document_id").groupBy(kind.alias("publisher_kind")).agg(F.count(F.lit(1)).alias("retrieved"))
+
+
+@query(f"with {R}, b as (select builder_model, graph_regime, median(latency_ms) as v from r group by 1, 2), d as (select builder_model, graph_regime, round(abs(v - median(v) over (partition by graph_regime)), 4) as distance from b) select *, rank() over (partition by graph_regime order by distance desc)::int as outlier_rank from d")
+def rank_outlier(t):
+    b = _retrievals(t).groupBy(F.col("builder").alias("builder_model"), F.col("regime").alias("graph_regime")).agg(F.median("latency_ms").alias("v"))
+    d = b.select("builder_model", "graph_regime", F.round(F.abs(F.col("v") - F.median("v").over(Window.partitionBy("graph_regime"))), 4).alias("distance"))
+    return d.withColumn("outlier_rank", F.rank().over(Window.partitionBy("graph_regime").orderBy(F.desc("distance"))))
+
+
+@query()
+def answer_normalization(t):
+    from ..functions import answers as N
+
+    a = _answers(t).where("outcome = 'success'").withColumn("n", N.normalize_answer("raw_answer")).withColumn("g", N.normalize_answer("gold_answer"))
+    kind = F.when(F.col("n") == N.ABSTAIN, "abstention").when(F.col("n").isin("yes", "no"), "yes/no").when(F.col("n").rlike(r"^\d{4}(-\d\d){0,2}$"), "date").when(F.col("n").rlike(r"^-?\d+(\.\d+)?%?$"), "number").otherwise("text")
+    return a.groupBy(kind.alias("kind"), (F.col("n") == F.col("g")).alias("exact")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "with x as (select chunk_id, document_id, chunk_order, row_number() over (partition by chunk_id order by created_at desc) as k from chunks), c as (select document_id, count(*) as n, count(distinct chunk_order) as orders, max(chunk_order) as top from x where k = 1 group by 1) "
+    "select document_id, n::bigint as chunks, (orders = n)::boolean as orders_unique, (top = n - 1)::boolean as orders_complete from c"
+)
+def snapshot_chunks(t):
+    c = latest.latest(t("chunks").select("chunk_id", "document_id", "chunk_order", "created_at"), ["chunk_id"], [F.desc("created_at")])
+    g = c.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("chunk_order").alias("o"), F.max("chunk_order").alias("top"))
+    return g.select("document_id", "chunks", (F.col("o") == F.col("chunks")).alias("orders_unique"), (F.col("top") == F.col("chunks") - 1).alias("orders_complete"))
