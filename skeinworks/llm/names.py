@@ -341,7 +341,7 @@ def entity_names(mentions: DataFrame, stage: Stage | None = None) -> DataFrame:
     ids = stage.write(components.dense_ids(keys.select("key")), "ids")
     links = segment_join(keys).select(F.concat_ws("|", "sig", "a").alias("ka"), F.concat_ws("|", "sig", "b").alias("kb"))
     edges = links.join(ids.selectExpr("key as ka", "vid as u"), "ka").join(ids.selectExpr("key as kb", "vid as v"), "kb").select("u", "v")
-    groups = components.components(edges, stage=stage)
+    groups = components.components(edges, rounds=3, stage=stage)  # variants lie within a hop or two
     labelled = ids.join(groups, "vid", "left").select("key", F.coalesce("label", "vid").alias("label"))
     own = stage.write(read.withColumn("key", F.concat_ws("|", "sig", "head")).join(labelled, "key", "left").drop("key", "sig", "head"), "own")
 
