@@ -43,36 +43,33 @@ def hard_negatives(scores: DataFrame, gold: DataFrame, answered: DataFrame, quer
     return retrieval.top_k(s, query, doc, k)
 
 
-def greedy_select(candidates: DataFrame, item: str, value: str, caps: dict[str, int], size: int, per_group: int = 2000) -> DataFrame:
+def greedy_select(candidates: DataFrame, item: str, value: str, caps: dict[str, int], size: int) -> DataFrame:
     """Up to ``size`` items of highest value such that no group of a capped column is chosen more often than its cap.
 
-    Choice is sequential, so it runs in one task, over the ``per_group`` best items of every
-    group of every capped column and the ``size`` best overall: an item beyond those could
-    only be chosen after its group is full.
+    Choice is sequential, so it runs in one task, but not over all candidates: of the items
+    that share their group in every capped column no more than the tightest cap can be
+    chosen, and those are the best; without caps the ``size`` best are.
     """
     from pyspark.sql import Window
 
     cols = sorted(caps)
+    order = [F.desc(value), F.col(item)]
     c = candidates.select(item, value, *cols).where(F.col(value).isNotNull())
     if cols:
-        per = {g: min(per_group, caps[g]) for g in cols}
-        order = [F.desc(value), F.col(item)]
-        key = Window.partitionBy(*cols).orderBy(*order)
-        # within one combination of groups only the tightest cap's best can be chosen
-        c = c.withColumn("_n", F.row_number().over(key)).where(F.col("_n") <= min(per.values())).drop("_n")
+        c = c.withColumn("_n", F.row_number().over(Window.partitionBy(*cols).orderBy(*order))).where(F.col("_n") <= min(size, *caps.values())).drop("_n")
+    else:
+        c = c.orderBy(*order).limit(size)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         used: dict[tuple[str, object], int] = {}
         out = []
-        for row in pdf.sort_values([value, item], ascending=[False, True]).itertuples(index=False):
-            keys = [(g, getattr(row, g)) for g in cols]
-            if all(used.get(x, 0) < caps[x[0]] for x in keys):
+        for row in pdf.sort_values([value, item], ascending=[False, True]).to_dict("records"):
+            keys = [(g, row[g]) for g in cols]
+            if len(out) < size and all(used.get(x, 0) < caps[x[0]] for x in keys):
                 for x in keys:
                     used[x] = used.get(x, 0) + 1
-                out.append(getattr(row, item))
-                if len(out) == size:
-                    break
+                out.append(row[item])
         return pd.DataFrame({item: out, "position": range(1, len(out) + 1)})
 
     kind = candidates.schema[item].dataType.simpleString()
-    return c.groupBy(F.lit(0)).applyInPandas(solve, f"{item} {kind}, position long").select(item, "position")
+    return c.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(solve, f"{item} {kind}, position long")

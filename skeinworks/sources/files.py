@@ -27,8 +27,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, toler
     ok = F.try_parse_json("value")
     j = lines.join(F.broadcast(last), "file").withColumn("ok", ok.isNotNull())
     # only the last line of a file may be broken
-    bad = F.when(~F.col("ok") & (F.col("at") < F.col("last")), F.raise_error(F.concat(F.lit("broken line: "), F.substring("value", 1, 80))))
-    return j.withColumn("_bad", bad).where("_bad is null and ok").select(row.alias("x")).select("x.*")
+    broken = F.raise_error(F.concat(F.lit("broken line: "), F.substring("value", 1, 80))).cast("boolean")
+    keep = F.when(F.col("ok"), F.lit(True)).when(F.col("at") < F.col("last"), broken).otherwise(F.lit(False))
+    return j.where(keep).select(row.alias("x")).select("x.*")
 
 
 def read_enveloped(spark: SparkSession, path: str, record: T.StructType | str, kind: str) -> DataFrame:
