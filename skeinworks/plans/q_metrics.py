@@ -49,11 +49,11 @@ def rank_documents(t):
 
 @query(
     f"with {R}, {_RM} select regime, coalesce(question_type, '(all)') as question_type, count(*)::bigint as questions, round(avg(hit), 6) as retrieval_hit, round(avg(recall), 6) as retrieval_recall, round(avg(rr), 6) as mrr, round(avg(chain), 6) as complete_chain, "
-    "round(quantile_cont(latency_ms, 0.5), 4) as latency_median, round(quantile_cont(latency_ms, 0.95), 4) as latency_p95 from rq group by grouping sets ((regime, question_type), (regime))"
+    "round(quantile_cont(latency_ms, 0.5), 2) as latency_median, round(quantile_cont(latency_ms, 0.95), 2) as latency_p95 from rq group by grouping sets ((regime, question_type), (regime))"
 )
 def downstream_aggregate(t):
     rows = _rank_rows(t)
-    q = lambda p: F.round(F.percentile("latency_ms", F.lit(p)), 4)
+    q = lambda p: F.round(F.percentile("latency_ms", F.lit(p)), 2)
     g = rows.groupingSets([[F.col("regime"), F.col("question_type")], [F.col("regime")]], "regime", "question_type")
     out = g.agg(
         F.count(F.lit(1)).alias("questions"), F.round(F.avg("retrieval_hit"), 6).alias("retrieval_hit"), F.round(F.avg("retrieval_recall"), 6).alias("retrieval_recall"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"),
@@ -127,13 +127,13 @@ def mcnemar_holm(t):
 _E = "e as (select * from request_efficiency_by_builder_and_regime where retrieval_latency_mean_s > 0 and answer_latency_mean_s > 0 and questions > 0)"
 
 
-@query(f"with {_E}, k as (select regime, rank() over (partition by regime order by retrieval_latency_mean_s) + (count(*) over (partition by regime, retrieval_latency_mean_s) - 1) / 2 as x, rank() over (partition by regime order by answer_latency_mean_s) + (count(*) over (partition by regime, answer_latency_mean_s) - 1) / 2 as y from e) select regime, count(*)::bigint as n, round(corr(x, y), 6) as spearman from k group by 1")
+@query(f"with {_E}, k as (select regime, rank() over (partition by regime order by retrieval_latency_mean_s) + (count(*) over (partition by regime, retrieval_latency_mean_s) - 1) / 2 as x, rank() over (partition by regime order by answer_latency_mean_s) + (count(*) over (partition by regime, answer_latency_mean_s) - 1) / 2 as y from e) select regime, count(*)::bigint as n, round(case when count(*) > 1 and not isnan(corr(x, y)) then corr(x, y) end, 6) as spearman from k group by 1")
 def rank_spearman(t):
     e = t("request_efficiency_by_builder_and_regime").where("retrieval_latency_mean_s > 0 and answer_latency_mean_s > 0 and questions > 0")
     return stats.spearman(e, ["regime"], "retrieval_latency_mean_s", "answer_latency_mean_s").withColumn("spearman", F.round("spearman", 6))
 
 
-@query(f"with {_E} select regime, count(*)::bigint as n, round(regr_slope(ln(answer_latency_mean_s), ln(questions)), 5) as slope, round(regr_intercept(ln(answer_latency_mean_s), ln(questions)), 5) as intercept, round(regr_r2(ln(answer_latency_mean_s), ln(questions)), 5) as r2 from e group by 1")
+@query(f"with {_E} select regime, count(*)::bigint as n, round(case when count(*) > 1 and not isnan(regr_slope(ln(answer_latency_mean_s), ln(questions))) then regr_slope(ln(answer_latency_mean_s), ln(questions)) end, 5) as slope, round(case when count(*) > 1 and not isnan(regr_intercept(ln(answer_latency_mean_s), ln(questions))) then regr_intercept(ln(answer_latency_mean_s), ln(questions)) end, 5) as intercept, round(case when count(*) > 1 and not isnan(regr_r2(ln(answer_latency_mean_s), ln(questions))) then regr_r2(ln(answer_latency_mean_s), ln(questions)) end, 5) as r2 from e group by 1")
 def loglog_fit(t):
     e = t("request_efficiency_by_builder_and_regime").where("retrieval_latency_mean_s > 0 and answer_latency_mean_s > 0")
     return stats.loglog_fit(e, ["regime"], "questions", "answer_latency_mean_s").select("regime", "n", *[F.round(c, 5).alias(c) for c in ("slope", "intercept", "r2")])
@@ -161,7 +161,7 @@ def relative_to_first(t):
 
 
 @query(
-    f"with {R}, {A} select a.builder_model as builder, a.graph_regime as regime, count(*)::bigint as requests, round(avg(a.latency_ms), 4) as answer_mean_ms, round(quantile_cont(a.latency_ms, 0.95), 4) as answer_p95_ms, round(avg(r.latency_ms), 4) as retrieval_mean_ms, "
+    f"with {R}, {A} select a.builder_model as builder, a.graph_regime as regime, count(*)::bigint as requests, round(avg(a.latency_ms), 4) as answer_mean_ms, round(quantile_cont(a.latency_ms, 0.95), 2) as answer_p95_ms, round(avg(r.latency_ms), 4) as retrieval_mean_ms, "
     "round(avg(r.context_token_count), 4) as context_mean, round(avg(a.output_tokens), 4) as output_mean from a join r using (retrieval_result_id) group by 1, 2"
 )
 def request_efficiency(t):
@@ -169,7 +169,7 @@ def request_efficiency(t):
     j = _answers(t).join(r, "retrieval_result_id")
     m = lambda c, n: F.round(F.avg(c), 4).alias(n)
     return j.groupBy("builder", "regime").agg(
-        F.count(F.lit(1)).alias("requests"), m("latency_ms", "answer_mean_ms"), F.round(F.percentile("latency_ms", F.lit(0.95)), 4).alias("answer_p95_ms"), m("rl", "retrieval_mean_ms"), m("context_token_count", "context_mean"), m("output_tokens", "output_mean")
+        F.count(F.lit(1)).alias("requests"), m("latency_ms", "answer_mean_ms"), F.round(F.percentile("latency_ms", F.lit(0.95)), 2).alias("answer_p95_ms"), m("rl", "retrieval_mean_ms"), m("context_token_count", "context_mean"), m("output_tokens", "output_mean")
     )
 
 

@@ -189,3 +189,61 @@ def test_jaccard_of_every_pair(spark):
     df = spark.createDataFrame([(k, i) for k, v in s.items() for i in v] + [("a", 1), (None, 1)], "g string, i int")
     want = [(p, q, len(s[p] & s[q]), round(len(s[p] & s[q]) / len(s[p] | s[q]), 6)) for p, q in itertools.combinations_with_replacement("abc", 2)]
     assert rows(graph.jaccard_matrix(df, "g", "i")) == sorted(want, key=repr)
+
+
+def test_pipeline_with_a_judge(spark):
+    from skeinworks.plans import pipeline
+
+    m = spark.createDataFrame(PROFILE + [("Apple Incorporated", "organization", "d4", "c4", None)], "original_name string, entity_type string, document_id string, chunk_id string, description string")
+    asked = []
+    out = pipeline.resolve_entities(m, judge=lambda prompts: ["same_entity" if "Incorporated" in p else "uncertain" for p in prompts])
+    g = {r[0]: r[1] for r in rows(pipeline.resolution_gates(out))}
+    assert not any(g.values()), g
+    actions = {r["action"] for r in out["decisions"].collect()}
+    assert "merge" in actions and out["entities"].count() < out["profiles"].count() and not asked
+
+
+def test_model_calls_retry_and_cache(spark):
+    from skeinworks.operators import models
+
+    r = spark.createDataFrame([("a",), ("a",), ("b",), ("bad",)], "prompt string").withColumn("cache_key", models.cache_key(F.col("prompt")))
+    assert models.pending(r, r.where("prompt = 'a'")).count() == 2
+
+    def fn(prompts):
+        if "bad" in prompts:
+            raise TimeoutError("slow")
+        return [p.upper() for p in prompts]
+
+    out = models.call(models.pending(r, None), fn, batch=1)
+    got = {x["prompt"]: (x["response"], x["attempts"]) for x in r.join(out, "cache_key").collect()}
+    assert got == {"a": ("A", 1), "b": ("B", 1), "bad": (None, 3)}
+    c = models.inspect_response(F.col("prompt"), ("x",))
+    d = spark.createDataFrame([('{"x": 1}',), ("[1]",), ("no",), (None,)], "prompt string")
+    assert [tuple(x) for x in d.select(*c.values()).collect()] == [(True, True), (True, False), (False, False), (False, False)]
+
+
+def test_evidence(spark):
+    from skeinworks.operators import relations
+
+    a = spark.createDataFrame([("r1", "c1", "A", "B", " is in "), ("r2", "c1", "A", "C", "nope"), ("r3", "c9", "A", "D", ""), ("r4", "c1", "E", "F", "A is in B")], "relation_id string, chunk_id string, source string, target string, quote string")
+    k, e = spark.createDataFrame([("c1", "A is in B.")], "chunk_id string, content string"), spark.createDataFrame([("B", "A")], "source string, target string")
+    assert rows(relations.evidence_checks(a, k, e)) == [("r1", "already_an_edge"), ("r2", "quote_not_in_chunk"), ("r3", "no_quote"), ("r3", "unknown_chunk")]
+
+
+def test_coalesce_relations_keeps_the_first_direction(spark):
+    from skeinworks.operators import relations
+
+    r = spark.createDataFrame([("c", "a", "b", "X", 2), ("c", "b", "a", "y", 1), ("c", "a", "b", "x", 3), ("c", "a", "a", "z", 0)], "chunk string, s string, t string, k string, p int")
+    assert rows(relations.coalesce_relations(r, ["chunk"], "s", "t", "k", "p")) == [("c", "b", "a", 3, "y|X")]
+
+
+@pytest.mark.parametrize("name", ["blocked", "components", "jaccard", "bm25"])
+def test_empty_tables(spark, name):
+    e = spark.createDataFrame([], "a string, b string")
+    out = {
+        "blocked": lambda: joins.blocked_pairs(e, "a", "b", 10),
+        "components": lambda: graph.components(e, "a", "b"),
+        "jaccard": lambda: graph.jaccard_matrix(e, "a", "b"),
+        "bm25": lambda: retrieval.bm25(retrieval.bm25_index(e, "a", "b"), "a", e.withColumnsRenamed({"a": "q"}), "q", "b"),
+    }[name]()
+    assert out.count() == 0
