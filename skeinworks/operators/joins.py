@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import Stage
+
 
 class GateError(ValueError):
     """A precondition of an operator does not hold."""
@@ -51,9 +53,14 @@ def blocked_pairs(rows: DataFrame, block: str, item: str, max_block: int) -> Dat
     on block and order range, so a large block spreads over many keys.
     """
     radius = max(2, min(20, max_block // 10))
+    stage = Stage(rows.sparkSession, "blocks")
     r = rows.where(F.col(block).isNotNull()).select(F.col(block).alias("b"), F.col(item).alias("i")).distinct()
-    r = r.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("b"))).withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy("i")))
-    r = r.where("n > 1").withColumn("reach", F.when(F.col("n") <= max_block, F.lit(max_block)).otherwise(F.lit(radius)))
+    # numbering in order, in two steps over ranges, so that a large block is not one task's
+    r = stage.write(r.repartitionByRange("b", "i").withColumn("part", F.spark_partition_id()), "ranges")
+    per = r.groupBy("b", "part").agg(F.count(F.lit(1)).alias("k"))
+    per = per.selectExpr("b", "part", "sum(k) over (partition by b order by part) - k as before", "sum(k) over (partition by b) as n").where("n > 1")
+    r = r.join(per, ["b", "part"]).withColumn("rn", F.col("before") + F.row_number().over(Window.partitionBy("b", "part").orderBy("i")))
+    r = r.withColumn("reach", F.when(F.col("n") <= max_block, F.lit(max_block)).otherwise(F.lit(radius))).select("b", "i", "rn", "reach")
     # a cell holds as many items as one may reach; partners are in the same cell or the next
     r = r.withColumn("cell", F.floor(F.col("rn") / F.col("reach")))
     left = r.select("b", F.col("i").alias("left_id"), F.col("rn").alias("lr"), "reach", F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
