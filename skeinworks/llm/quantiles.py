@@ -179,7 +179,10 @@ def sketch(readings: DataFrame, by: Sequence[str], value: str, weight: str | Non
         return pa.table([*[pa.array([k.as_py()], k.type) for k in key], pa.array([total], pa.int64()), pa.array([zlib.compress(cells.astype("<i8").tobytes(), 1)], pa.binary())], names=[*by, "n", "cells"])
 
     schema = T.StructType([*keys, T.StructField("n", T.LongType()), T.StructField("cells", T.BinaryType())])
-    return r.mapInArrow(parts, partial).groupBy(*by).applyInArrow(merge, schema)
+    # merging takes far more time than its few bytes suggest, so partitions are not to be coalesced by size
+    n = int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = r.mapInArrow(parts, partial)
+    return (sent.repartition(n, *by) if by else sent).groupBy(*by).applyInArrow(merge, schema)
 
 
 def _groups(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, list[tuple]]:
