@@ -277,17 +277,18 @@ def distinct_names(mentions: DataFrame) -> DataFrame:
     return per.groupBy("name").agg(best.alias("b")).select("name", F.col("b.family").alias("family"))
 
 
-def common_words(names: DataFrame, partners: int = 12) -> list[str]:
+def common_words(names: DataFrame, partners: int = 12, max_words: int = 20_000) -> list[str]:
     """Words that stand beside many different words, unlike the rare word of one entity.
 
     The partner of a word is the longest other word of the name, told apart by three
-    letters; a word counts as common with ``partners`` of them. Few words can be, since
-    every name has only one longest partner.
+    letters; a word counts as common with ``partners`` of them. The vocabulary that is
+    broadcast holds at most ``max_words``, those with most partners; a word beyond them
+    stays part of the head, where it has to match as it is spelled.
     """
     t = names.select(F.array_distinct(F.expr(r"regexp_extract_all(lower(name), '(\\p{L}{3,})', 1)")).alias("t")).where("size(t) > 1")
     each = t.selectExpr("explode(transform(t, w -> struct(w as w, array_max(transform(filter(t, x -> x <> w), x -> struct(length(x) as n, x as x))).x as p))) as e")
     counts = each.selectExpr("e.w as w", "substring(e.p, 1, 3) as p").distinct().groupBy("w").count().where(F.col("count") >= partners)
-    return sorted(r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(20_000).collect())
+    return sorted(r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(max_words).collect())
 
 
 def read_names(names: DataFrame, common: list[str]) -> DataFrame:

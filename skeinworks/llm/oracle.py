@@ -2,6 +2,26 @@
 
 from __future__ import annotations
 
+from .survivors import FIELDS, STAND_INS
+
+_EDGE = r"[\s\p{P}<>|`^~$+=]+"
+_GARBLED = r"\x{FFFD}|\?\?|\\u[0-9a-fA-F]{2}|\\x[0-9a-fA-F]{2}|&#\d+;?|&[a-z]+;|Ã.|â€|Â.|[\x00-\x08\x0b\x0c\x0e-\x1f]"
+
+
+def _claims() -> str:
+    """One select a field: the claims that could be genuine, each seen alone."""
+    out = []
+    for f in FIELDS:
+        listed = ", ".join(f"'{x}'" for x in STAND_INS[f].split("|"))
+        extra = {"original_name": " and not regexp_full_match(core, '(entity|person|organi[sz]ation|location|event|product|name) ?\\d+')", "description": " and regexp_matches(v, '[.!?。!?][\"''”’»)\\]]*\\s*$')"}.get(f, "")
+        out.append(
+            f"select e, '{f}' as field, v, mention_id, builder_model, tm from (select canonical_entity_id as e, mention_id, builder_model, extracted_at as tm, {f} as v, "
+            f"regexp_replace(lower({f}), '^{_EDGE}|{_EDGE}$', '', 'g') as core from m where canonical_entity_id is not null) where v is not null and core <> '' and core not in ({listed}) "
+            f"and not regexp_matches(v, '{_GARBLED}') and not regexp_matches(v, '(…|\\.\\.\\.|[-–—])\\s*$'){extra}"
+        )
+    return " union all ".join(out)
+
+
 SQL: dict[str, str] = {
     "p2_found": """
 with recursive d as (
@@ -22,6 +42,16 @@ o as (select *, row_number() over (partition by base_run_id, b, g order by laten
 t as (select base_run_id, b, g, latency_ms p95 from o where i = ceil(round(0.95 * n, 9)))
 select distinct p.base_run_id, builder_key, regime from request_efficiency_by_builder_and_regime p join t on t.base_run_id = p.base_run_id and b = builder_key and g = regime
 where abs(retrieval_latency_p95_s * 1000 - p95) > 0.2 * p95""",
+    # support decides in the operator which of two names is cut off; a name that another one goes on from is the cut one here
+    "p5_found": f"""
+with m as (select * from (select *, row_number() over (partition by mention_id order by ingested_at desc) k from mentions where mention_id is not null) where k = 1),
+n as (select canonical_entity_id e, count(*) n from m where canonical_entity_id is not null group by 1),
+c as ({_claims()}),
+g as (select * from c where not (field = 'original_name' and exists (select 1 from c d where d.e = c.e and d.field = 'original_name' and d.v <> c.v and starts_with(d.v, c.v)))),
+t as (select builder_model, min(trust_rank) rank from builder_trust group by 1),
+r as (select e, field, mention_id, coalesce(rank, 2147483647) rank, tm from g left join t using (builder_model)),
+b as (select e, field, min(rank) rank, max(tm) tm from r group by 1, 2)
+select e as canonical_entity_id, field as field_name, min(mention_id) as mention_id from r join b using (e, field, rank, tm) join n using (e) where n >= 2 group by 1, 2""",
     "p7_found": """
 with m as (select mention_id, embedding::double[] v from (select *, row_number() over (partition by mention_id order by ingested_at desc) k from mentions
     where embedding is not null and len(embedding) = 32 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0) where k = 1),
