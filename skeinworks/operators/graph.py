@@ -92,15 +92,18 @@ def topology(nodes: DataFrame, node: str, edges: DataFrame, a: str, b: str, labe
 def transitivity(edges: DataFrame, a: str, b: str) -> DataFrame:
     """One row: triangles, triads and 3 triangles / triads.
 
-    Edges point from the end of lower degree, which bounds what a hub contributes.
+    Edges point from the end of lower degree, so no node points to more than the square
+    root of twice the edges; a triangle is a neighbour that both ends of an edge point to.
     """
-    e = edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
+    stage = Stage(edges.sparkSession, "triangles")
+    e = stage.write(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct(), "edges")
     d = e.select(F.col("x").alias("n")).unionByName(e.select(F.col("y").alias("n"))).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
     ranked = e.join(d.withColumnsRenamed({"n": "x", "d": "dx"}), "x").join(d.withColumnsRenamed({"n": "y", "d": "dy"}), "y")
     first = (F.col("dx") < F.col("dy")) | ((F.col("dx") == F.col("dy")) & (F.col("x") < F.col("y")))
-    o = ranked.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("p"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("q"))
-    wedges = o.withColumnRenamed("q", "q1").join(o.withColumnRenamed("q", "q2"), "p").where("q1 < q2")
-    tri = wedges.join(e, (F.col("q1") == F.col("x")) & (F.col("q2") == F.col("y"))).agg(F.count(F.lit(1)).alias("triangles"))
+    o = stage.write(ranked.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("p"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("q")), "oriented")
+    near = o.groupBy("p").agg(F.collect_list("q").alias("near"))
+    ends = o.join(near, "p").join(near.withColumnsRenamed({"p": "q", "near": "far"}), "q")
+    tri = ends.agg(F.coalesce(F.sum(F.size(F.array_intersect("near", "far"))), F.lit(0)).alias("triangles"))
     triads = d.agg(F.coalesce(F.sum(F.col("d") * (F.col("d") - 1) / 2), F.lit(0.0)).cast("long").alias("triads"))
     return tri.crossJoin(triads).select("triangles", "triads", F.round(F.coalesce(F.try_divide(3.0 * F.col("triangles"), F.col("triads")), F.lit(0.0)), 6).alias("transitivity"))
 

@@ -39,13 +39,20 @@ def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.explode(T.lexical_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_index(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Postings ``(key, term, tf, dl, df, idf)`` and the mean length."""
-    tf = term_counts(documents, key, text)
-    dl = documents.select(key, F.size(T.lexical_tokens(F.col(text))).alias("dl"))
-    stats = dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+def bm25_index(documents: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """Postings ``(key, term, tf, dl, n, avgdl, df, idf)``.
+
+    With ``terms`` only postings of those terms are made; lengths and document counts stay
+    those of all documents. Postings of other terms are then never shuffled.
+    """
+    tokens = documents.select(key, T.lexical_tokens(F.col(text)).alias("tokens")).select(key, "tokens", F.size("tokens").alias("dl"))
+    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    flat = tokens.select(key, "dl", F.explode("tokens").alias("term"))
+    if terms is not None:
+        flat = flat.join(terms.select("term").distinct(), "term", "left_semi")
+    tf = flat.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return tf.join(df, "term").join(dl, key).crossJoin(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    return tf.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
 def bm25(index: DataFrame, key: str, queries: DataFrame, query: str, text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:

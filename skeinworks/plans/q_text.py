@@ -148,8 +148,9 @@ _BM25 = (
 
 
 def _scores(t):
-    index = retrieval.bm25_index(t("documents").select("doc_id", "text"), "doc_id", "text")
-    return retrieval.bm25(index, "doc_id", t("eval_items").select("item_id", "text"), "item_id", "text")
+    items = t("eval_items").select("item_id", "text")
+    index = retrieval.bm25_index(t("documents").select("doc_id", "text"), "doc_id", "text", retrieval.term_counts(items, "item_id", "text"))
+    return retrieval.bm25(index, "doc_id", items, "item_id", "text")
 
 
 @query(f"with {_BM25} select item_id, doc_id, round(score, 6) as score, rank::int as rank from (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rank from sc) where rank <= 5")
