@@ -134,12 +134,13 @@ class Reader:
 
     def _word(self, t: str) -> str:
         dotted, t = t.endswith("."), t.rstrip(".")
+        # a short form means its word however often it occurs itself
+        if t in NICKNAMES and NICKNAMES[t] in self.common:
+            return NICKNAMES[t]
         if t in self.common or t in LEGAL or t in FILLERS or t in TITLES or t in GENERATIONS:
             return ABBREVIATIONS.get(t, t) if t not in LEGAL else t
         if t in ABBREVIATIONS:
             return ABBREVIATIONS[t]
-        if t in NICKNAMES and NICKNAMES[t] in self.common:
-            return NICKNAMES[t]
         if dotted and len(t) >= 2:
             full = [w for w in self.seen if w.startswith(t)] or [w for w in self.common if w.startswith(t)]
             if len(full) == 1:
@@ -277,18 +278,41 @@ def distinct_names(mentions: DataFrame) -> DataFrame:
     return per.groupBy("name").agg(best.alias("b")).select("name", F.col("b.family").alias("family"))
 
 
-def common_words(names: DataFrame, partners: int = 12, max_words: int = 20_000) -> list[str]:
+def name_words(names: DataFrame) -> DataFrame:
+    """``(t)``: the distinct whole words of each name as the reader sees them; damaged, abbreviated and marked cut words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name in b.column(0).to_pylist():
+                t = words(name)
+                t = t[:-1] if _CUT.search(name.strip()) else t
+                rows.append(list(dict.fromkeys(w for w in t if len(w) >= 3 and w.isalpha())))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["t"])
+
+    return names.select("name").where("name is not null").mapInArrow(run, "t array<string>")
+
+
+def common_words(names: DataFrame, partners: int = 12, share: int = 2_000, ratio: int = 8) -> list[str]:
     """Words that stand beside many different words, unlike the rare word of one entity.
 
     The partner of a word is the longest other word of the name, told apart by three
-    letters; a word counts as common with ``partners`` of them. The vocabulary that is
-    broadcast holds at most ``max_words``, those with most partners; a word beyond them
-    stays part of the head, where it has to match as it is spelled.
+    letters; a word counts as common with ``partners`` of them and in one of ``share``
+    names, so that the vocabulary stays as large as a name is long times ``share`` and
+    what is common does not depend on the size of the input. Nicknames, and words that
+    begin, end or misspell by one edit a word of ``ratio`` times as many names, are forms
+    of that word.
     """
-    t = names.select(F.array_distinct(F.expr(r"regexp_extract_all(lower(name), '(\\p{L}{3,})', 1)")).alias("t")).where("size(t) > 1")
-    each = t.selectExpr("explode(transform(t, w -> struct(w as w, array_max(transform(filter(t, x -> x <> w), x -> struct(length(x) as n, x as x))).x as p))) as e")
-    counts = each.selectExpr("e.w as w", "substring(e.p, 1, 3) as p").distinct().groupBy("w").count().where(F.col("count") >= partners)
-    return sorted(r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(max_words).collect())
+    t = name_words(names)
+    total = t.count()
+    each = t.where("size(t) > 1").selectExpr("explode(transform(t, w -> struct(w as w, array_max(transform(filter(t, x -> x <> w), x -> struct(length(x) as n, x as x))).x as p))) as e")
+    counts = each.selectExpr("e.w as w", "substring(e.p, 1, 3) as p").groupBy("w").agg(F.countDistinct("p").alias("k"), F.count(F.lit(1)).alias("n"))
+    found = {r["w"]: r["n"] for r in counts.where((F.col("k") >= partners) & (F.col("n") * share >= total)).collect()}
+    return sorted(w for w in found if w not in NICKNAMES and not _is_form(w, found, ratio))
+
+
+def _is_form(w: str, found: dict[str, int], ratio: int) -> bool:
+    return any(n >= ratio * found[w] and (x.startswith(w) or x.endswith(w) or osa1(w, x)) for x, n in found.items())
 
 
 def read_names(names: DataFrame, common: list[str]) -> DataFrame:

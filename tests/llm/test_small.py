@@ -161,3 +161,9 @@ def test_prose_bands_and_cuts():
     assert reading.words_of(None) is None and reading.words_of("") is None
     low, high = reading.cut_points(np.array([0.1, 0.2, 0.9, 1.0, 1.8, 1.9]), np.array([0, 0, 1, 1, 2, 2.0]))
     assert 0.2 < low < 0.9 and 1.0 < high < 1.8
+
+
+def test_short_forms_stay_forms_however_frequent():
+    r = names.Reader(["nicholas", "nick", "vincent", "summit", "console"])
+    key = lambda n: (lambda x: (x["head"], tuple(x["mods"])))(r.read(n))
+    assert key("Nick Tenounian") == key("Nicholas Tenounian") and key("Vinc. Tenounian") == key("Vincent Tenounian") and key("Sumit Zera") == key("Zera Summit")

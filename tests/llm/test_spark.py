@@ -282,3 +282,10 @@ def test_variant_pairs(spark):
     want = {(a, b) for a in v for b in v if a < b} | {("Cup Zera 2021", "Zera Cup 2021")} | {tuple(sorted(p)) for p in (("FBL", "Fibrudeivik Broadcasting Laboratories Inc."), ("FBL", "Fibrudeivik Broadcasting Labs"), ("Fibrudeivik Broadcasting Laboratories Inc.", "Fibrudeivik Broadcasting Labs"))}
     assert want <= got and not any("Jr." in x or "2022" in x or "Kropiacuthorn" in x or "N/A" in x for p in got for x in p)
     assert rows(names.variant_pairs(m.limit(0))) == []
+
+
+def test_common_words_do_not_depend_on_size(spark):
+    rng = random.Random(3)
+    rare = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    n = [f"{w} {rare()}x" for w, k in (("Nicholas", 300), ("Nick", 30), ("Summit", 300), ("Summi", 30), ("Sumit", 30), ("Vincent", 300), ("Vinc", 30)) for _ in range(k)]
+    assert names.common_words(spark.createDataFrame([(x,) for x in n], "name string")) == ["nicholas", "summit", "vincent"]
