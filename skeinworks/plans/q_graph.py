@@ -234,14 +234,14 @@ def exact_cosine_knn(t):
 def lsh_knn(t):
     from ..operators import vectors
 
-    return vectors.lsh_knn(t("embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 64, 10)
+    return vectors.block_knn(t("embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 64, 10)
 
 
 @query()
 def reciprocal_neighbours(t):
     from ..operators import vectors
 
-    k = vectors.lsh_knn(t("embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 64, 10)
+    k = vectors.block_knn(t("embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 64, 10)
     return vectors.reciprocal(k)
 
 
