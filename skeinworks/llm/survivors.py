@@ -108,11 +108,12 @@ def judged_claims(mentions: DataFrame, trust: DataFrame, stage: Stage) -> tuple[
     prior = t.select(F.col("builder").alias("source"), (1 / (1 + F.col("rank"))).alias("weight"))
     support, weights = truth_discovery(votes, prior, stage=stage)
     support = stage.write(support.select("item", F.col("value").alias("v"), "support"), "support")
-    # all values that go on from a value follow it in order, so the next one tells
-    names = c.where("genuine and field = 'original_name'").select("item", "v", "value").distinct().join(support, ["item", "v"])
-    by = "partition by item, substring(value, 1, 2) order by value"
-    cut = names.selectExpr("item", "v", "value", "support", f"lead(value) over ({by}) as nxt", f"lead(support) over ({by}) as nxt_support")
-    cut = stage.write(cut.where("startswith(nxt, value) and nxt_support >= support").select("item", "v", F.lit(True).alias("cut")), "cut")
+    # every value tells all its beginnings, so that a value meets the best supported of those that go on from it
+    names = stage.write(c.where("genuine and field = 'original_name'").select("item", "v", "value").distinct().join(support, ["item", "v"]), "names")
+    starts = names.where("length(value) > 1").selectExpr("item", "support", "value as whole", "explode(sequence(1, length(value) - 1)) as l")
+    longer = starts.groupBy("item", F.expr("substring(whole, 1, l)").alias("value")).agg(F.max("support").alias("most"))
+    cut = names.join(longer, ["item", "value"])
+    cut = stage.write(cut.where("most >= support").select("item", "v", F.lit(True).alias("cut")), "cut")
     near = F.broadcast(cut) if cut.count() <= 200_000 else cut
     out = c.join(support, ["item", "v"], "left").join(near, ["item", "v"], "left")
     return out.withColumn("genuine", F.col("genuine") & F.col("cut").isNull()).drop("cut", "item", "v"), weights
