@@ -125,7 +125,9 @@ def defects(question: str | None, answer: str | None, gold: str | None = None) -
     * ``wrong_language``: its words (without quotations, names and the gold answer) are
       of another language than the question.
     * ``truncated``: an unclosed bracket, quotation or bold mark, an end that cannot end a
-      sentence, or a last sentence without an end after whole sentences or clauses.
+      sentence, or a last sentence without an end after whole sentences or clauses. Of a
+      refusal or a copy the last does not count: they are often whole without a full stop (nor does
+      "that" at the end, as in "respond to that").
 
     An answer that opens with a copy of the question and goes on is judged by the rest.
     A null question matches no copy and counts as English; a null gold is ignored.
@@ -147,8 +149,7 @@ def defects(question: str | None, answer: str | None, gold: str | None = None) -
     n = len(asked.split())
     if asked and (not rest or n >= 4 and 2 * len(bare.split()) >= n and f" {bare} " in f" {asked} "):
         out.append("question_copy")
-    if out:
-        return out
+    declined_or_copied = bool(out)
     said = _QUOTED.sub(" ", body)
     if gold:
         said = said.replace(gold, " ")
@@ -160,8 +161,8 @@ def defects(question: str | None, answer: str | None, gold: str | None = None) -
     unclosed = body.count('"') % 2 or body.count("**") % 2 or body.count("(") > body.count(")") or body.count("[") > body.count("]") or body.count("“") > body.count("”")
     ended = bool(_ENDED.search(body))
     last = plain(tail).split()
-    hangs = _HANGS.search(body) or not ended and len(last) > 1 and last[-1] in _DANGLING
-    if unclosed or hangs or body.endswith(("...", "…")) or not ended and (before or _CLAUSES.search(tail)):
+    hangs = _HANGS.search(body) or not ended and len(last) > 1 and last[-1] in _DANGLING and not (declined_or_copied and last[-1] == "that")
+    if unclosed or hangs or body.endswith(("...", "…")) or not ended and not declined_or_copied and (before or _CLAUSES.search(tail)):
         out.append("truncated")
     return out
 
