@@ -134,7 +134,7 @@ def generate_candidates(t):
 @query()
 def score_pairs(t):
     p = _profiles(t)
-    pairs = ER.candidates({"acronym": ER.block_acronym(p), "containment": ER.block_containment(p)})
+    pairs = ER.candidates({"acronym": ER.block_acronym(p), "containment": ER.block_containment(p), "exact_name": ER.block_exact(p), "fuzzy_name": ER.block_fuzzy(p)})
     s = ER.score(ER.pair_signals(ER.with_profiles(pairs, p)))
     s = s.withColumn("pair_id", T.joined_id("pair_", F.col("left_id"), F.col("right_id")))
     return ER.decide(s, F.lit(False), F.lit(None).cast("string")).select("pair_id", "left_id", "right_id", F.round("score", 6).alias("score"), "action", "source")
