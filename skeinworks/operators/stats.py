@@ -19,44 +19,128 @@ def paired_deltas(values: DataFrame, key: Sequence[str], regime: str, left: str,
     return p.select(*key, a.alias("left_value"), b.alias("right_value"), (b - a).alias("delta"))
 
 
-def _plan(strata: list[str], samples: int, seed: str) -> np.ndarray:
-    """Indices of each resample, drawn within strata in order of first appearance."""
-    rng = random.Random(int(hashlib.sha256(f"{seed}\0paired-question-plan".encode()).hexdigest(), 16))
-    groups: dict[str, list[int]] = {}
-    for i, s in enumerate(strata):
-        groups.setdefault(s, []).append(i)
-    out = np.empty((samples, len(strata)), np.int64)
+def resample_plan(strata: Sequence[str | None], samples: int, seed: int | str) -> np.ndarray:
+    """Row indices of each resample, one row a sample: as many draws with replacement from each stratum as it has rows.
+
+    The draws are those of the standard generator's ``randrange``, seeded with the first
+    eight bytes (big-endian) of a digest that the published plan fixes, one stratum after
+    another in the order of their names; a missing stratum is called unknown. Words of the
+    generator are drawn in bulk: a draw below ``n`` is the first word whose leading bits
+    are below ``n``, so a stratum takes a run of the stream and leaves the rest.
+    """
+    names = np.array([s or "unknown" for s in strata], dtype=object)
+    members = [np.flatnonzero(names == name) for name in sorted(set(names))]
+    words = _words(int.from_bytes(hashlib.sha256(f"{seed}\0paired-question-plan".encode()).digest()[:8], "big"))
+    out = np.empty((samples, len(names)), np.int64)
+    held = np.empty(0, np.uint64)
     for r in range(samples):
         at = 0
-        for _, members in sorted(groups.items()):
-            for _ in members:
-                out[r, at] = members[rng.randrange(len(members))]
-                at += 1
+        for rows in members:
+            n = len(rows)
+            shift = np.uint64(32 - n.bit_length())
+            while True:
+                hits = np.flatnonzero((held >> shift) < n)
+                if len(hits) >= n:
+                    break
+                held = np.concatenate([held, words(max(4096, 4 * n))])
+            out[r, at : at + n] = rows[(held[hits[:n]] >> shift).astype(np.int64)]
+            held = held[hits[n - 1] + 1 :]
+            at += n
     return out
 
 
-def bootstrap_mean(rows: DataFrame, by: Sequence[str], stratum: str, item: str, value: str, samples: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean of a value and its 95 % percentile interval over resamples of the items, stratified, one group a task.
+def _words(seed: int):
+    """Source of 32-bit words: the standard generator's stream from an integer seed."""
+    state = random.Random(seed).getstate()[1]
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    return lambda n: bits.random_raw(n).astype(np.uint64)
+
+
+def _means(values: np.ndarray, plan: np.ndarray) -> np.ndarray:
+    """Mean of each resample over the rows that have a value; resamples without any are left out."""
+    drawn = values[plan]
+    there = ~np.isnan(drawn)
+    n = there.sum(1)
+    return (np.where(there, drawn, 0.0).sum(1) / np.maximum(n, 1))[n > 0]
+
 
-    A group holds one row an item (questions), so its size is the number of questions.
+def _interval(values: np.ndarray, level: float) -> tuple[float, float]:
+    tail = 50 * (1 - level)
+    return tuple(np.percentile(values, [tail, 100 - tail])) if len(values) else (np.nan, np.nan)
+
+
+def _resampled(rows: DataFrame, by: Sequence[str], stratum: str, item: str, values: dict[str, str], solve, outputs: str) -> DataFrame:
+    """Runs ``solve(strata, values)`` for each group, whose rows are ordered by stratum and item; one group a task.
+
+    A group holds one row an item (a question), so a task never holds more than the questions.
     """
-    cols = rows.select(*by, F.col(stratum).alias("_s"), F.col(item).alias("_i"), F.col(value).cast("double").alias("_v"))
+    cols = rows.select(*by, F.coalesce(F.col(stratum), F.lit("unknown")).alias("_s"), F.col(item).alias("_i"), *[F.col(v).cast("double").alias(k) for k, v in values.items()])
 
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_s", "_i"])
-        v = pdf["_v"].to_numpy(float)
-        plan = _plan(pdf["_s"].fillna("").astype(str).tolist(), samples, str(seed))
-        drawn = v[plan]
-        with np.errstate(invalid="ignore"):
-            n = (~np.isnan(drawn)).sum(1)
-            means = np.where(n > 0, np.nansum(drawn, 1) / np.maximum(n, 1), np.nan)
+        return pd.DataFrame([[*key, *solve(pdf["_s"].tolist(), [pdf[k].to_numpy(float) for k in values])]], columns=[*by, *[o.split()[0] for o in outputs.split(", ")]])
+
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by), outputs])
+    return cols.groupBy(*by).applyInPandas(run, schema)
+
+
+def bootstrap_mean(rows: DataFrame, by: Sequence[str], stratum: str, item: str, value: str, samples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Mean of a value and its percentile interval over resamples of the items, drawn within strata."""
+
+    def solve(strata: list[str], values: list[np.ndarray]) -> tuple:
+        v = values[0]
         ok = v[~np.isnan(v)]
-        means = means[~np.isnan(means)]
-        low, high = (np.percentile(means, [2.5, 97.5]) if len(means) else (np.nan, np.nan))
-        return pd.DataFrame([[*key, len(ok), ok.mean() if len(ok) else np.nan, low, high]], columns=[*by, "n", "mean", "ci_low", "ci_high"])
+        low, high = _interval(_means(v, resample_plan(strata, samples, seed)), level)
+        return len(ok), ok.mean() if len(ok) else np.nan, low, high
+
+    return _resampled(rows, by, stratum, item, {"_v": value}, solve, "n long, mean double, ci_low double, ci_high double")
+
+
+def paired_summary(pairs: DataFrame, by: Sequence[str], stratum: str, item: str, left: str = "left_value", right: str = "right_value", samples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Means of both sides and of their difference, each with its interval over one shared plan of resampled items.
+
+    ``pairs`` has one row an item and group of ``by`` (say, a metric); a pair counts if both
+    sides have a value, and the plan covers all items, so the groups share it.
+    """
 
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by) + ", n long, mean double, ci_low double, ci_high double"
-    return cols.groupBy(*by).applyInPandas(solve, schema)
+    def solve(strata: list[str], values: list[np.ndarray]) -> list:
+        a, b = values
+        both = ~np.isnan(a) & ~np.isnan(b)
+        plan = resample_plan(strata, samples, seed)
+        out = [int(both.sum()), int((~both).sum())]
+        for v in (a, b, b - a):
+            v = np.where(both, v, np.nan)
+            out += [np.nanmean(v) if both.any() else np.nan, *_interval(_means(v, plan), level)]
+        return out
+
+    cols = ", ".join(f"{side}_{what} double" for side in ("left", "right", "delta") for what in ("mean", "ci_low", "ci_high"))
+    return _resampled(pairs, by, stratum, item, {"_a": left, "_b": right}, solve, f"paired long, missing long, {cols}")
+
+
+def bootstrap_spearman(rows: DataFrame, by: Sequence[str], stratum: str, item: str, x: str, y: str, samples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Rank correlation of two columns and its interval over resamples of the items; null where a side is constant."""
+
+    def solve(strata: list[str], values: list[np.ndarray]) -> tuple:
+        both = ~np.isnan(values[0]) & ~np.isnan(values[1])
+        a, b = (v[both] for v in values)
+        plan = resample_plan([s for s, k in zip(strata, both) if k], samples, seed)
+        rho = np.array([_spearman(a[p], b[p]) for p in plan]) if len(a) else np.empty(0)
+        return len(a), _spearman(a, b), *_interval(rho[~np.isnan(rho)], level)
+
+    return _resampled(rows, by, stratum, item, {"_x": x, "_y": y}, solve, "n long, spearman double, ci_low double, ci_high double")
+
+
+def _spearman(a: np.ndarray, b: np.ndarray) -> float:
+    if len(a) < 2:
+        return np.nan
+    ranks = []
+    for v in (a, b):
+        _, place, count = np.unique(v, return_inverse=True, return_counts=True)
+        ranks.append((np.cumsum(count) - (count - 1) / 2)[place])
+    da, db = (r - r.mean() for r in ranks)
+    scale = np.sqrt((da @ da) * (db @ db))
+    return float(da @ db / scale) if scale > 0 else np.nan
 
 
 def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
