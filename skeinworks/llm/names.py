@@ -71,7 +71,7 @@ _CUT = re.compile(r"\s*(?:…|\.\.\.|-)$")
 _PAREN = re.compile(r"\s*\(([^()]*)\)\s*")
 _CAMEL = re.compile(r"(?<=\p{Ll}\p{Ll})(?=\p{Lu}\p{Ll})")
 _TOKEN = re.compile("[^\\W_\x01]*(?:\x01[^\\W_\x01]*)*\\.?")
-_YEAR = re.compile("[12][0-9\x01]{3}")
+_YEAR = re.compile("(?=.*[0-9].*[0-9])[12\x01][0-9\x01]{3}")
 _SHORT_YEAR = re.compile(r"\s['’](\d\d)\b")
 _STAND_IN = frozenset(STAND_INS["original_name"].split("|"))
 HOLE = "\x01"
@@ -237,7 +237,9 @@ def forms_of(r: dict) -> list[tuple[str, str]]:
         return []
     out = [(f"head|{gen}", head)]
     if r["year"]:
-        out.append((f"edition|{' '.join(mods)}", head))
+        # a year with one damaged digit means this edition, one with more damage any edition
+        out.append((f"edition|{' '.join(mods)}|", head))
+        out += [(f"edition|{' '.join(mods)}|{r['year'][:i]}{HOLE}{r['year'][i + 1:]}", head) for i in range(4)]
     if len(order) == 1 and not r["year"]:
         out.append((f"initial|{order[0][0]}|{gen}", head))
     if len(r["initials"]) >= 2:
@@ -265,7 +267,7 @@ def short_forms(r: dict) -> list[tuple[str, str]]:
     if r["kind"] == "cut":
         return []
     if HOLE in r["year"]:
-        return [(f"edition|{mods}", head)]
+        return [(f"edition|{mods}|{r['year'] if r['year'].count(HOLE) == 1 else ''}", head)]
     return [(f"blend|{mods}", head), (f"part|{mods}|{r['year']}|{r['gen']}", head) if mods else (f"head|{r['gen']}", head)]
 
 
@@ -379,9 +381,9 @@ def entity_names(mentions: DataFrame, stage: Stage | None = None) -> DataFrame:
         known = targets.select("sig", "head").distinct()
         exact = shorts.join(known, ["sig", "head"], "left_semi").withColumn("as", F.col("head"))
         others = shorts.join(known, ["sig", "head"], "left_anti").where("sig <> 'acronym'")
-        near = segment_join(known.unionByName(others.select("sig", "head")).distinct())
-        near = near.unionByName(near.select("sig", F.col("b").alias("a"), F.col("a").alias("b"))).select("sig", F.col("a").alias("head"), F.col("b").alias("as"))
-        asked = exact.unionByName(others.join(near, ["sig", "head"]))
+        near = segment_join(stage.write(known.unionByName(others.select("sig", "head")).distinct(), "heads"))
+        near = near.selectExpr("sig", "inline(array(struct(a as head, b as `as`), struct(b as head, a as `as`)))")
+        asked = stage.write(exact.unionByName(others.join(near, ["sig", "head"])), "asked")
         t = targets.withColumnRenamed("head", "as")
         found = asked.join(t.select("sig", "as", F.col("label").alias("target"), F.col("family").alias("tf")), ["sig", "as"])
         of = lambda same, what: F.expr(f"{what}(case when {same} then target end)")
@@ -389,7 +391,7 @@ def entity_names(mentions: DataFrame, stage: Stage | None = None) -> DataFrame:
             F.min("target").alias("lo"), F.max("target").alias("hi"), of("tf = family", "min").alias("flo"), of("tf = family", "max").alias("fhi")
         )
         hit = per.selectExpr("name", "label", "case when flo = fhi then flo when flo is null and lo = hi then lo when lo = hi then lo end as target")
-        hit = hit.where("target is not null and (label is null or target <> label)")
+        hit = stage.write(hit.where("target is not null and (label is null or target <> label)"), "hit")
         # a whole group moves, so that misspelt shorter forms come along; names without a group move alone
         moved = _unique(hit.where("label is not null").select("label", F.col("target").alias("t")), ["label"], "t").withColumnRenamed("target", "to")
         alone = _unique(hit.where("label is null").select("name", F.col("target").alias("t")), ["name"], "t").withColumnRenamed("target", "alone")
@@ -399,22 +401,27 @@ def entity_names(mentions: DataFrame, stage: Stage | None = None) -> DataFrame:
     named = attach(own, ("blend", "part"))
     named = attach(named, ("head", "initial", "acronym", "edition"))
 
-    # cut-off names: the one entity whose names go on where the cut is, first of those of the name's family
+    # cut-off names: the one entity whose names go on where the cut is, first of those of the name's family; of a
+    # name and the same name with more after it (a son's, say) the shorter
     long = stage.write(named.where("label is not null and length(prefix) > 5").selectExpr("name", "kind", "label", "family", "prefix"), "long")
-    starts = stage.write(
-        long.selectExpr("name", "label", "family", "prefix as whole", "explode(sequence(5, length(prefix) - 1)) as l")
-        .selectExpr("name as of", "label as target", "family as tf", "substring(whole, 1, l) as prefix", "substring(whole, l, 2) rlike '^[^ ]{2}$' as inside"),
-        "starts",
+    marked = named.where("kind = 'cut' and length(prefix) >= 5").selectExpr("name", "family", "prefix", "false as unmarked")
+    asked = long.where("kind = 'full'").select("prefix").unionByName(marked.select("prefix")).distinct()
+    starts = long.selectExpr("name", "label", "family", "prefix as whole", "explode(sequence(5, length(prefix) - 1)) as l").selectExpr(
+        "name as of", "label as target", "family as tf", "whole", "substring(whole, 1, l) as prefix", "substring(whole, l, 2) rlike '^[^ ]{2}$' as inside"
     )
+    starts = stage.write(starts.join(asked, "prefix", "left_semi"), "starts")
     inside = starts.where("inside").select("prefix", "target").distinct()
     broken = stage.write(long.where("kind = 'full'").join(inside, "prefix").where("target <> label").select("name").distinct(), "broken")
-    sound = starts.join(broken.withColumnRenamed("name", "of"), "of", "left_anti").drop("of").distinct()
-    ended = long.join(broken, "name", "left_anti").selectExpr("label as target", "family as tf", "prefix", "false as inside").distinct()
-    cuts = named.where("kind = 'cut' and length(prefix) >= 5").selectExpr("name", "family", "prefix", "false as unmarked")
-    cuts = cuts.unionByName(long.join(broken, "name").selectExpr("name", "family", "prefix", "true as unmarked"))
-    fits = cuts.join(sound.unionByName(ended), "prefix").where("inside or not unmarked")
-    per = fits.groupBy("name").agg(F.expr("min(target) lo"), F.expr("max(target) hi"), F.expr("min(case when tf = family then target end) flo"), F.expr("max(case when tf = family then target end) fhi"))
-    to = per.selectExpr("name", "case when lo = hi then lo when flo = fhi then flo end as target")
+    sound = starts.join(broken.withColumnRenamed("name", "of"), "of", "left_anti").drop("of")
+    ended = long.join(broken, "name", "left_anti").selectExpr("label as target", "family as tf", "prefix as whole", "prefix", "false as inside")
+    cuts = marked.unionByName(long.join(broken, "name").selectExpr("name", "family", "prefix", "true as unmarked"))
+    ends = sound.unionByName(ended).groupBy("prefix", "inside", "target", "tf").agg(F.min("whole").alias("first"), F.max("whole").alias("last"))
+    fits = cuts.join(ends, "prefix").where("inside or not unmarked")
+    per = fits.groupBy("name").agg(
+        F.expr("min(target) lo"), F.expr("max(target) hi"), F.expr("min(case when tf = family then target end) flo"), F.expr("max(case when tf = family then target end) fhi"),
+        F.expr("min(struct(first, target)) as least"), F.expr("max(last) as last"),
+    )
+    to = per.selectExpr("name", "case when lo = hi then lo when flo = fhi then flo when startswith(last, least.first) then least.target end as target")
     out = named.join(to, "name", "left")
     return out.select("name", F.coalesce("target", "label").alias("label")).where("label is not null")
 
