@@ -9,7 +9,9 @@ inverted by descending from the coarsest level to the finest.
 
 Partial sketches travel as (code, weight) lists where that is smaller than the
 cells; both forms add up to the same sketch. A group's state is bounded however
-many readings it has, and its partial sums are made before the shuffle.
+many readings it has, its partial sums are made before the shuffle, and the partial
+sketches of one group meet in two steps over salted parts, so that no task holds
+more of them than a fraction of the map tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,13 +107,14 @@ def decode(code: int) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def sketch(readings: DataFrame, by: Sequence[str], value: str, weight: str | None = None, width: int = 1024, depth: int = 5) -> DataFrame:
+def sketch(readings: DataFrame, by: Sequence[str], value: str, weight: str | None = None, width: int = 1024, depth: int = 5, fan: int = 64) -> DataFrame:
     """One row a group: the ``by`` columns, ``n`` (sum of weights) and ``cells``
     (the counters, compressed).
 
     Null, NaN, infinite and negative values are left out. ``weight`` is a column of
     signed counts, 1 if not given. Groups without a reading have no row. Null group
-    values form a group.
+    values form a group. Partial sketches of a group are added up in ``fan`` salted parts
+    first and then in one.
     """
     cols = {c: c for c in by} | {"_v": value} | ({"_w": weight} if weight else {})
     r = pick(readings, **cols).where("_v is not null and not isnan(_v) and _v >= 0 and _v < double('Infinity')")
@@ -166,32 +170,54 @@ def sketch(readings: DataFrame, by: Sequence[str], value: str, weight: str | Non
         if held or dense:
             yield from out()
 
-    def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        cells = np.zeros(lay.cells, np.int64)
-        for codes, dense in zip(t.column("codes").to_pylist(), t.column("cells").to_pylist()):
-            if codes:
-                c = np.frombuffer(codes, np.int64).reshape(2, -1)
-                lay.add(cells, c[0], c[1])
+    def total(t: pa.Table) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Sum of some partial sketches: as codes while those are few, and as cells."""
+        lists = [np.frombuffer(c, np.int64).reshape(2, -1) for c in t.column("codes").to_pylist() if c]
+        both, cells = None, None
+        if lists:
+            every = np.concatenate(lists, axis=1)
+            code, inverse = np.unique(every[0], return_inverse=True)
+            both = np.stack([code, np.bincount(inverse, every[1]).astype(np.int64)])
+        for dense in t.column("cells").to_pylist():
             if dense:
-                cells += np.frombuffer(dense, np.int64)
+                cells = np.frombuffer(dense, np.int64) + (0 if cells is None else cells)
+        return both, cells
+
+    def fold(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        both, cells = total(t)
+        if both is not None and both.shape[1] * 4 > lay.cells:
+            cells = np.zeros(lay.cells, np.int64) if cells is None else cells.copy()
+            lay.add(cells, both[0], both[1])
+            both = None
+        sums = [pa.array([None if x is None else x.tobytes()], pa.binary()) for x in (both, cells)]
+        return pa.table([*[pa.array([k.as_py()], k.type) for k in key[: len(by)]], *sums], names=partial.names)
+
+    def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        both, cells = total(t)
+        cells = np.zeros(lay.cells, np.int64) if cells is None else cells.copy()
+        if both is not None:
+            lay.add(cells, both[0], both[1])
         top = lay.offsets[BITS - 1]
-        total = int(cells[top] + cells[top + 1])
-        return pa.table([*[pa.array([k.as_py()], k.type) for k in key], pa.array([total], pa.int64()), pa.array([zlib.compress(cells.astype("<i8").tobytes(), 1)], pa.binary())], names=[*by, "n", "cells"])
+        n = int(cells[top] + cells[top + 1])
+        return pa.table([*[pa.array([k.as_py()], k.type) for k in key], pa.array([n], pa.int64()), pa.array([zlib.compress(cells.astype("<i8").tobytes(), 1)], pa.binary())], names=[*by, "n", "cells"])
 
     schema = T.StructType([*keys, T.StructField("n", T.LongType()), T.StructField("cells", T.BinaryType())])
     # merging takes far more time than its few bytes suggest, so partitions are not to be coalesced by size
     n = int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = r.mapInArrow(parts, partial)
-    return (sent.repartition(n, *by) if by else sent).groupBy(*by).applyInArrow(merge, schema)
+    sent = r.mapInArrow(parts, partial).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(max(1, fan))))
+    some = sent.groupBy(*by, "_salt").applyInArrow(fold, partial)
+    return (some.repartition(n, *by) if by else some).groupBy(*by).applyInArrow(merge, schema)
 
 
 def _groups(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, list[tuple]]:
     """Group number of each row, and the groups' values."""
-    if not n:
-        return np.zeros(batch.num_rows, np.int64), [()]
-    seen: dict[tuple, int] = {}
-    out = np.fromiter((seen.setdefault(k, len(seen)) for k in zip(*(batch.column(i).to_pylist() for i in range(n)))), np.int64, batch.num_rows)
-    return out, list(seen)
+    number = np.zeros(batch.num_rows, np.int64)
+    for i in range(n):
+        coded = pc.dictionary_encode(batch.column(i), null_encoding="encode")
+        number = number * (len(coded.dictionary) + 1) + coded.indices.to_numpy()
+    _, first, group = np.unique(number, return_index=True, return_inverse=True)
+    where = pa.array(first)
+    return group, list(zip(*(batch.column(i).take(where).to_pylist() for i in range(n)))) if n else [()] * len(first)
 
 
 def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -252,13 +278,14 @@ def latency_readings(rows: DataFrame, id_col: str, at: str, value: str = "latenc
     return newest.select(*[F.col(f"x.{k}") for k in KEYS], F.col("x.latency_ms"))
 
 
-def wrong_p95(retrievals: DataFrame, published: DataFrame, tolerance: float = 0.2, **size: int) -> DataFrame:
-    """``KEYS`` of published rows whose ``retrieval_latency_p95_s`` is off by more than ``tolerance`` of the true one.
+def judge_p95(retrievals: DataFrame, published: DataFrame, tolerance: float = 0.2, **size: int) -> DataFrame:
+    """``KEYS, wrong, counted`` of published rows with a figure whose group has a reading.
 
-    The sketch of each group settles the rows whose enclosed percentile lies wholly
-    within or wholly beyond the tolerance; for the others the readings on each side
-    of the two limits are counted exactly. Rows with a null figure or whose group
-    has no reading are not reported.
+    ``wrong`` tells whether ``retrieval_latency_p95_s`` is off by more than ``tolerance`` of
+    the true one. The sketch of each group encloses the percentile; where the enclosure lies
+    wholly within or wholly beyond the tolerance it settles the row. For the others
+    (``counted``) an exact check follows: the readings on each side of the two limits are
+    counted.
     """
     stage = Stage(retrievals.sparkSession, "quantiles")
     readings = stage.write(latency_readings(retrievals, "retrieval_result_id", "retrieved_at"), "readings")
@@ -270,19 +297,23 @@ def wrong_p95(retrievals: DataFrame, published: DataFrame, tolerance: float = 0.
         pub.join(p95, list(KEYS)).selectExpr(
             *KEYS,
             "pub",
-            "n",
             f"({over.format('high')}) or ({under.format('low')}) as wrong",
             f"not ({over.format('low')}) and not ({under.format('high')}) as right",
         ),
         "judged",
     )
-    open_rows = judged.where("not wrong and not right").drop("wrong", "right")
-    counted = (
-        readings.join(open_rows, list(KEYS))
-        .groupBy(*KEYS, "pub")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(f"cast({over.format('latency_ms')} as int)")).alias("over"), F.sum(F.expr(f"cast({under.format('latency_ms')} as int)")).alias("under"))
-    )
+    open_rows = judged.where("not wrong and not right").select(*KEYS, "pub")
+    sides = [F.sum(F.expr(f"cast({side.format('latency_ms')} as int)")).alias(name) for side, name in ((over, "over"), (under, "under"))]
+    counted = readings.join(open_rows, list(KEYS)).groupBy(*KEYS, "pub").agg(F.count(F.lit(1)).alias("n"), *sides)
     # the true percentile has rank ceil(0.95 n); readings beyond a limit are a prefix or a suffix of the order
     rank = "cast(ceil(round(0.95D * n, 9)) as bigint)"
-    off = counted.where(f"over >= {rank} or under >= n - {rank} + 1")
-    return judged.where("wrong").select(*KEYS).unionByName(off.select(*KEYS)).distinct()
+    checked = counted.selectExpr(*KEYS, f"over >= {rank} or under >= n - {rank} + 1 as wrong", "true as counted")
+    return judged.where("wrong or right").selectExpr(*KEYS, "wrong", "false as counted").unionByName(checked)
+
+
+def wrong_p95(retrievals: DataFrame, published: DataFrame, tolerance: float = 0.2, **size: int) -> DataFrame:
+    """``KEYS`` of the published rows that :func:`judge_p95` finds wrong.
+
+    Rows with a null figure or whose group has no reading are not reported.
+    """
+    return judge_p95(retrievals, published, tolerance, **size).where("wrong").select(*KEYS).distinct()
