@@ -7,6 +7,7 @@ generated code too large to be compiled and ran some hundred times slower.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,16 +54,24 @@ REFUSALS = (
 # The articles lack it, which is an answer.
 LACKS = r"\b(?:articles?|context|sources?|reports?|documents?|text|passages?|artikel|kontext|texte?)\b.{0,40}\b(?:do not|does not|don't|doesn't|lack|lacks|contain no|nicht|keine)\b|\binsufficient information\b|\b(?:find|found|locate|determine) (?:this|that|the|any|such)?\b.{0,30}\b(?:in|from) the (?:articles?|context|sources?|text|documents?)\b"
 
-# Frequent words by language.
+# Function words (articles, pronouns, prepositions, conjunctions, auxiliaries, particles) by language.
 FREQUENT = {
-    "en": "the is was were it its of and to that this answer according report reports because had has not been both by with from for which says say who what where when why how did does do an as on at only there yes also although since mentioned article",
-    "de": "der die das ist war es und nicht laut beide berichte antwort von dem den des im ein eine wie denn wurde ja nein lautet nennen dieselbe quelle ausdrücklich bestätigen davon steht zweiten bericht lag am noch artikeln artikel schreiben hat sich auf mit für aus weil keine wer welche welcher trotz gebaut worden",
-    "fr": "le la les est selon réponse et car avait comme dit des du de un une il elle oui non parce que n'était pas encore signé d'après deux déjà voté s'agit précise premier second confirment confirme l'article aux dans pour qui ne contrat conseil",
-    "es": "el los las según respuesta correcta es porque sí informe menciona dos veces no hay otra fuente nadie niega estaba firmado todavía contrato del una con por que lo artículo artículos recuperados para se y",
-    "it": "il lo gli risposta è sì perché due come scrive secondo giornale articoli articolo base nei conferma con che della del non una di era ancora contratto",
-    "pl": "tak nie oba artykuły artykułami to potwierdzają zgodnie z odpowiedź ponieważ rada podjęła decyzję wcześniej jest że się na umowa była jeszcze",
-    "pt": "o os as segundo resposta é porque sim não dos das um uma com que ambos artigos confirmam isso contrato ainda",
-    "nl": "het de een volgens antwoord is omdat ja nee beide artikelen bevestigen dat niet van en contract nog",
+    "en": "the a an and or but not is are was were be been being has have had do does did can could will would shall should may might must it its he him his she her they them their we us our you your i my me this that these those there "
+    "who whom whose which what when where why how of to in on at by for with from into onto about after before between during through against without within because since although while if than as so such no yes also only both each any some all other more most very just then here according",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder aber nicht kein keine keinen ist sind war waren sein gewesen wird werden wurde wurden worden hat haben hatte hatten kann können konnte soll sollte muss er sie es ihn ihm ihr wir uns ihnen ich mich mir du man sich dieser diese dieses "
+    "diesem diesen dieselbe wer was wann wo warum wie welche welcher welches von vom zu zum zur in im am an auf aus bei mit nach für über unter vor durch gegen ohne um seit laut weil denn da dass ob wenn als auch nur noch schon sehr beide beiden ja nein davon dort hier",
+    "fr": "le la les l un une des du de d et ou mais ne pas n est sont était étaient été être avoir a ont avait avaient il elle ils elles on nous vous je tu se s ce cet cette ces c qui que qu quoi dont où quand comment pourquoi quel quelle à au aux en dans sur sous par pour avec sans entre chez vers depuis "
+    "pendant avant après selon contre car parce comme si aussi encore déjà très plus moins tout tous deux oui non son sa ses leur leurs y",
+    "es": "el la los las lo un una unos unas y e o u pero no ni es son era eran fue fueron ser sido está están estaba estado ha han había habían hay se le les me te nos su sus mi este esta estos estas ese esa eso que quien quién cuál cuando cuándo dónde cómo porque por para con sin sobre entre desde hasta "
+    "hacia según contra durante de del al a en como si también todavía ya muy más menos todo todos nadie nada dos sí",
+    "it": "il lo la i gli le l un uno una e ed o ma non né è sono era erano stato stata essere ha hanno aveva avevano si ci vi ne lui lei loro noi voi io che chi cui quale quando dove come perché per con senza su tra fra da dal dalla di del della dei delle degli a al alla ai alle in nel nella nei nelle sul "
+    "secondo contro durante se anche ancora già molto più meno tutto tutti due sì questo questa",
+    "pl": "i a oraz lub albo ale nie jest są był była było były być będzie ma mają miał to ten ta te tego tej tym tych on ona ono oni się go jej ich mu co kto kiedy gdzie dlaczego jak który która które że żeby ponieważ bo więc z ze w we na do od po przez przy dla bez o u pod nad przed za między według zgodnie "
+    "także też jeszcze już bardzo więcej wcześniej tak oba obie",
+    "pt": "o a os as um uma uns umas e ou mas não nem é são era eram foi foram ser sido está estão estava tem têm tinha há se lhe me nos seu sua seus suas ele ela eles elas este esta esse essa isso que quem qual quando onde como porque por para com sem sobre entre desde até segundo contra durante de do da dos "
+    "das ao à em no na nos nas também ainda já muito mais menos tudo todos ambos dois sim",
+    "nl": "de het een en of maar niet geen is zijn was waren wordt worden werd werden geweest heeft hebben had hadden kan kunnen zal zou moet hij zij ze wij we ik jij je u hem haar hun ons zich dit dat deze die wie wat wanneer waar waarom hoe welke van naar in op aan bij met voor uit over onder door tegen zonder "
+    "om sinds volgens omdat want als dan ook nog al zeer meer beide ja nee er hier daar",
 }
 
 # Words that cannot end a sentence.
@@ -94,11 +103,11 @@ def plain(text: str) -> str:
 
 
 def language(text: str) -> tuple[str | None, dict[str, int]]:
-    """Language of a text and what speaks for each: its script, else its distinct frequent words."""
-    letters = len(_LETTER.findall(text))
-    if not letters:
+    """Language of a text and what speaks for each: its script, else its distinct function words."""
+    if not _LETTER.search(text):
         return None, {}
     if not text.isascii():
+        letters = len(_LETTER.findall(text))
         for k, script in _SCRIPTS.items():
             if 3 * len(script.findall(text)) > letters:
                 return k, {k: 9}
@@ -108,6 +117,12 @@ def language(text: str) -> tuple[str | None, dict[str, int]]:
     return (best if counts[best] else None), counts
 
 
+@functools.lru_cache(4096)
+def _asked_in(question: str) -> str:
+    """Language of a question, of which many answers have the same."""
+    return language(question)[0] or "en"
+
+
 def _without(text: str, part: str) -> str:
     """``text`` without ``part`` as whole words, repeated or not."""
     text = f" {text} "
@@ -153,7 +168,7 @@ def defects(question: str | None, answer: str | None, gold: str | None = None) -
     said = _QUOTED.sub(" ", body)
     if gold:
         said = said.replace(gold, " ")
-    ours, theirs = language(q)[0] or "en", language(_NAME.sub(" ", said))
+    ours, theirs = _asked_in(q), language(_NAME.sub(" ", said))
     if theirs[0] and theirs[0] != ours and theirs[1][theirs[0]] >= 2 and theirs[1][theirs[0]] > theirs[1].get(ours, 0):
         out.append("wrong_language")
     before = _SENTENCES.match(body)
