@@ -8,14 +8,16 @@ which the chi-square test says that a better neighbour would, with probability
 ``p``, have been projected nearer. Its k-th best distance shrinks as it verifies.
 
 The upper levels of the tree are fitted on a bounded sample and route vectors to
-cells, each of which one task indexes in full; a query visits its own cell and
-those that its test radius reaches. Exact copies are collapsed to one vector
-first, so a vector that a third of all rows share is one point.
+cells; a query visits its own cell and those that its test radius reaches. The
+visitors of a cell are dealt out to several tasks, each of which indexes the cell's
+own vectors, so that no task grows with the crowd. Exact copies are collapsed to one
+vector first, so a vector that a third of all rows share is one point.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from ..runtime import Stage, pick
 
 SEED = 20090
+VERIFY = 4096
 
 
 def chi2_quantile(p: float, m: int) -> float:
@@ -116,7 +119,8 @@ class Tree:
     def visits(self, q: np.ndarray, radius2) -> Iterator[tuple[int, np.ndarray]]:
         """(leaf, queries) for the leaves whose box lies within each query's radius.
 
-        ``radius2`` is called with query indices when a box is reached, so radii may shrink meanwhile.
+        ``radius2`` is called with query indices when a box is reached, so radii may shrink
+        meanwhile. Of two boxes the one nearer to most of the queries comes first.
         """
         todo = [(0, np.arange(len(q)))]
         while todo:
@@ -129,7 +133,10 @@ class Tree:
             if self.leaf[node] >= 0:
                 yield self.leaf[node], idx
             else:
-                todo += [(self.left[node], idx), (self.right[node], idx)]
+                d, value = self.cut[node]
+                below = 2 * np.count_nonzero(q[idx, d] < value) >= len(idx)
+                near, far = (self.left[node], self.right[node]) if below else (self.right[node], self.left[node])
+                todo += [(far, idx), (near, idx)]
 
 
 def search(base: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, m: int, chi: float, max_d2: float, leaf: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +152,12 @@ def search(base: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, m: in
     best_i = np.full((n, k), -1, np.int64)
 
     def verify(members: np.ndarray, idx: np.ndarray) -> None:
+        """Offers all members to the queries, in blocks of bounded memory."""
+        for b in range(0, len(members), VERIFY):
+            for c in range(0, len(idx), VERIFY):
+                offer(members[b : b + VERIFY], idx[c : c + VERIFY])
+
+    def offer(members: np.ndarray, idx: np.ndarray) -> None:
         s = queries[idx] @ base[members].T
         s[own[idx][:, None] == members[None, :]] = -2
         row, col = np.nonzero(s > best_s[idx, k - 1][:, None])
@@ -178,9 +191,7 @@ def search(base: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, m: in
         return 2 * (1 - best_s[idx, k - 1]) * np.float32(chi)
 
     for i, idx in tree.visits(pq, radius2):
-        idx = idx[at_home[idx] != i]
-        for at in range(0, len(idx), 8192):
-            verify(tree.leaves[i], idx[at : at + 8192])
+        verify(tree.leaves[i], idx[at_home[idx] != i])
     return best_i, best_s
 
 
@@ -228,7 +239,7 @@ def _collapse(vectors: DataFrame, k: int, stage: Stage, small: int = 200_000) ->
 
 
 def nearest(
-    vectors: DataFrame, dim: int, k: int, max_distance: float = 2.0, m: int = 6, p: float = 0.95, cell_rows: int = 65536, sample_rows: int = 20000, stage: Stage | None = None
+    vectors: DataFrame, dim: int, k: int, max_distance: float = 2.0, m: int = 6, p: float = 0.95, cell_rows: int = 65536, task_rows: int = 262144, sample_rows: int = 20000, stage: Stage | None = None
 ) -> DataFrame:
     """``(id, neighbour, cosine)``: the up to ``k`` most similar other ids of every id.
 
@@ -236,7 +247,8 @@ def nearest(
     neighbours within the Euclidean ``max_distance`` of the unit vectors are
     reported (2 for all). A neighbour within a query's k-th distance is missed with
     a probability of at most ``1 - p``. Equal cosines rank by id. Every vector is
-    indexed; only the upper tree is fitted on a sample of ``sample_rows``.
+    indexed; only the upper tree is fitted on a sample of ``sample_rows``, which also tells
+    how many tasks a cell needs so that each holds about ``task_rows`` visitors.
 
     Exact copies of a vector are one point of the index. Its first ``k + 1`` ids stand
     for it in the neighbour lists of others; each copy has the first others as its own.
@@ -245,44 +257,61 @@ def nearest(
     stage = stage or Stage(spark, "neighbours")
     points, members, reps = _collapse(vectors, k, stage)
     n = points.count()
-    schema = "cell int, home boolean, id string, v array<float>"
+    schema = "task long, base boolean, asks boolean, id string, v array<float>"
     cells = max(1, -(-n // cell_rows))
     chi, max_d2 = chi2_quantile(p, m), max_distance**2
+    reach = np.float32(max_d2 * chi)
     if cells > 1:
         sample = points.select("v").sample(min(1.0, sample_rows / n), SEED)
         top = np.array([r["v"] for r in sample.limit(2 * sample_rows).collect()], np.float64)
         top = (top / np.linalg.norm(top, axis=1, keepdims=True)).astype(np.float32) @ projection(dim, m)
-        router = spark.sparkContext.broadcast(Tree(top, max(1, len(top) // cells), open_boxes=True))
+        tree = Tree(top, max(1, len(top) // cells), open_boxes=True)
+        crowd = np.zeros(len(tree.leaves))
+        for cell, idx in tree.visits(top, lambda i: reach):
+            crowd[cell] += len(idx)
+        tasks = np.maximum(1, np.ceil(crowd * (n / len(top)) / task_rows)).astype(np.int64)
     else:
-        router = None
+        tree, tasks = Tree(np.zeros((1, m), np.float32), 1, open_boxes=True), np.ones(1, np.int64)
+    router = spark.sparkContext.broadcast((tree, tasks, np.cumsum(tasks) - tasks))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = projection(dim, m)
+        tree, tasks, first = router.value
         for batch in batches:
             ids, v = batch.column(0), batch.column(1)
-            if router is None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(np.ones(len(ids), bool)), ids, v], names=["cell", "home", "id", "v"])
-                continue
             q = _unit(v, dim) @ a
-            home = router.value.home(q)
-            for cell, idx in router.value.visits(q, lambda i: np.float32(max_d2 * chi)):
+            home = tree.home(q)
+            seat = np.array([zlib.crc32(i.encode()) for i in ids.to_pylist()], np.int64)
+
+            def send(cell: int, idx: np.ndarray, base: np.ndarray, asks: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
                 take = pa.array(idx)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), cell, np.int32)), pa.array(home[idx] == cell), ids.take(take), v.take(take)], names=["cell", "home", "id", "v"])
+                return pa.RecordBatch.from_arrays([pa.array(first[cell] + part), pa.array(base), pa.array(asks), ids.take(take), v.take(take)], names=["task", "base", "asks", "id", "v"])
+
+            for cell, idx in tree.visits(q, lambda i: reach):
+                # a visitor asks in one task of the cell; the cell's own vectors are in all of them and ask in one
+                own, part = home[idx] == cell, seat[idx] % tasks[cell]
+                yield send(cell, idx, own, np.ones(len(idx), bool), part)
+                mine, seats = idx[own], part[own]
+                for k in range(1, tasks[cell]):
+                    yield send(cell, mine, np.ones(len(mine), bool), np.zeros(len(mine), bool), (seats + k) % tasks[cell])
 
     def solve(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         x = _unit(t["v"].combine_chunks(), dim)
-        home = np.flatnonzero(t["home"].to_numpy())
+        base, asks = np.flatnonzero(t["base"].to_numpy()), np.flatnonzero(t["asks"].to_numpy())
         own = np.full(len(x), -1, np.int64)
-        own[home] = np.arange(len(home))
-        i, s = search(x[home], x, own, k, m, chi, max_d2)
+        own[base] = np.arange(len(base))
+        i, s = search(x[base], x[asks], own[asks], k, m, chi, max_d2)
         q, c = np.nonzero(i >= 0)
         ids = t["id"].combine_chunks()
-        a, b = x[q].astype(np.float64), x[home[i[q, c]]].astype(np.float64)
-        return pa.table({"id": ids.take(pa.array(q)), "neighbour": ids.take(pa.array(home[i[q, c]])), "cosine": np.einsum("ij,ij->i", a, b)})
-
-    routed = points.select("id", "v").mapInArrow(route, schema)
-    found = routed.groupBy("cell").applyInArrow(solve, "id string, neighbour string, cosine double")
+        one, other = asks[q], base[i[q, c]]
+        a, b = x[one].astype(np.float64), x[other].astype(np.float64)
+        return pa.table({"id": ids.take(pa.array(one)), "neighbour": ids.take(pa.array(other)), "cosine": np.einsum("ij,ij->i", a, b)})
+
+    # a fixed number, since tasks that search for long are not to be coalesced by their few bytes
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * int(tasks.sum()))
+    routed = points.select("id", "v").mapInArrow(route, schema).repartition(partitions, "task")
+    found = routed.groupBy("task").applyInArrow(solve, "id string, neighbour string, cosine double")
     if members is None:
         lists = found
     else:
