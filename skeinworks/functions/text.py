@@ -52,9 +52,21 @@ def _fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
 
 
+@F.pandas_udf(StringType())
+def _surface(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else " ".join(x.casefold().split()))
+
+
 def normalize_text(c: Column) -> Column:
     """Compatibility form, case-folded, white space collapsed; punctuation stays. ASCII never leaves the JVM."""
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), collapse(F.lower(c))).otherwise(_fold(c))
+    ascii_ = c.rlike(r"^[\x00-\x7F]*$")
+    return F.when(ascii_, collapse(F.lower(c))).otherwise(_fold(F.when(~ascii_, c)))
+
+
+def surface_key(c: Column) -> Column:
+    """Case-folded, white space collapsed; compatibility forms stay apart. ASCII never leaves the JVM."""
+    ascii_ = c.rlike(r"^[\x00-\x7F]*$")
+    return F.when(ascii_, collapse(F.lower(c))).otherwise(_surface(F.when(~ascii_, c)))
 
 
 def lexical_view(normalized: Column) -> Column:

@@ -45,21 +45,37 @@ def diff_sets(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFram
     return a.join(b, list(key), "full").select(*key, side.alias("side"))
 
 
-def blocked_pairs(rows: DataFrame, block: str, item: str, max_block: int) -> DataFrame:
-    """Pairs ``(left_id, right_id)``, left < right, of items of one block.
+CELL = 1024
 
-    In a block of more than ``max_block`` items each is paired only with the next
-    ``max(2, min(20, max_block // 10))`` in order, so no block is quadratic. The join is
-    on block and order range, so a large block spreads over many keys.
+
+def _numbered(rows: DataFrame, block: str, item: str, stage: Stage) -> DataFrame:
+    """``(b, i, rn, n)``: distinct items of each block, numbered in order, with the size of the block.
+
+    Numbered in two steps over ranges, so that a large block is not one task's.
     """
-    radius = max(2, min(20, max_block // 10))
-    stage = Stage(rows.sparkSession, "blocks")
     r = rows.where(F.col(block).isNotNull()).select(F.col(block).alias("b"), F.col(item).alias("i")).distinct()
-    # numbering in order, in two steps over ranges, so that a large block is not one task's
     r = stage.write(r.repartitionByRange("b", "i").withColumn("part", F.spark_partition_id()), "ranges")
     per = r.groupBy("b", "part").agg(F.count(F.lit(1)).alias("k"))
     per = per.selectExpr("b", "part", "sum(k) over (partition by b order by part) - k as before", "sum(k) over (partition by b) as n").where("n > 1")
-    r = r.join(per, ["b", "part"]).withColumn("rn", F.col("before") + F.row_number().over(Window.partitionBy("b", "part").orderBy("i")))
+    return r.join(per, ["b", "part"]).select("b", "i", (F.col("before") + F.row_number().over(Window.partitionBy("b", "part").orderBy("i"))).alias("rn"), "n")
+
+
+def blocked_pairs(rows: DataFrame, block: str, item: str, max_block: int | None) -> DataFrame:
+    """Pairs ``(left_id, right_id)``, left < right, of items of one block.
+
+    In a block of more than ``max_block`` items each is paired only with the next
+    ``max(2, min(20, max_block // 10))`` in order, as published. Without ``max_block`` every
+    pair of a block is given. Either way the join is on block and cells of the order, so a
+    large block spreads over many keys.
+    """
+    r = _numbered(rows, block, item, Stage(rows.sparkSession, "blocks"))
+    if max_block is None:
+        r = r.withColumn("cell", F.floor((F.col("rn") - 1) / CELL))
+        last = F.floor((F.col("n") - 1) / CELL)
+        left = r.select("b", F.col("i").alias("left_id"), F.col("rn").alias("lr"), F.explode(F.sequence("cell", last)).alias("cell"), F.col("cell").alias("own"))
+        right = r.select("b", F.col("i").alias("right_id"), F.col("rn").alias("rr"), F.explode(F.sequence(F.lit(0).cast("long"), "cell")).alias("own"), "cell")
+        return left.join(right, ["b", "own", "cell"]).where("lr < rr").select("left_id", "right_id").distinct()
+    radius = max(2, min(20, max_block // 10))
     r = r.withColumn("reach", F.when(F.col("n") <= max_block, F.lit(max_block)).otherwise(F.lit(radius))).select("b", "i", "rn", "reach")
     # a cell holds as many items as one may reach; partners are in the same cell or the next
     r = r.withColumn("cell", F.floor(F.col("rn") / F.col("reach")))
@@ -69,11 +85,17 @@ def blocked_pairs(rows: DataFrame, block: str, item: str, max_block: int) -> Dat
 
 
 def missing_pairs(members: DataFrame, group: str, item: str, edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs ``(group, left_id, right_id)`` of items of one group that no edge joins, whatever its direction."""
-    m = members.select(group, item).distinct()
-    pairs = m.withColumnRenamed(item, "left_id").join(m.withColumnRenamed(item, "right_id"), group).where("left_id < right_id")
+    """Pairs ``(group, left_id, right_id)`` of items of one group that no edge joins, whatever its direction.
+
+    The items of a group are numbered and met cell against cell, so that a large group
+    spreads over many keys; the pairs of all items of a group are the result asked for.
+    """
+    r = _numbered(members, group, item, Stage(members.sparkSession, "missing")).withColumn("cell", F.floor((F.col("rn") - 1) / CELL))
+    left = r.select("b", F.col("i").alias("left_id"), F.col("cell").alias("own"), F.explode(F.sequence("cell", F.floor((F.col("n") - 1) / CELL))).alias("cell"))
+    right = r.select("b", F.col("i").alias("right_id"), F.explode(F.sequence(F.lit(0).cast("long"), "cell")).alias("own"), "cell")
+    pairs = left.join(right, ["b", "own", "cell"]).where("left_id < right_id")
     known = edges.select(F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id")).distinct()
-    return pairs.join(known, ["left_id", "right_id"], "left_anti").select(group, "left_id", "right_id")
+    return pairs.join(known, ["left_id", "right_id"], "left_anti").select(F.col("b").alias(group), "left_id", "right_id")
 
 
 def local_edges(edges: DataFrame, a: str, b: str, members: DataFrame, group: str, item: str) -> DataFrame:

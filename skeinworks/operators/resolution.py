@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,18 +43,18 @@ def mention_profiles(mentions: DataFrame) -> DataFrame:
     return m.join(per, "normalized")
 
 
-def block_exact(p: DataFrame, max_block: int = 200) -> DataFrame:
+def block_exact(p: DataFrame, max_block: int | None = 200) -> DataFrame:
     return joins.blocked_pairs(p, "normalized", "profile_id", max_block)
 
 
-def block_acronym(p: DataFrame, max_block: int = 200) -> DataFrame:
+def block_acronym(p: DataFrame, max_block: int | None = 200) -> DataFrame:
     """Pairs that share initials or a compact name of 2 to 10 characters."""
     compact = F.replace("lexical", F.lit(" "), F.lit(""))
     keys = p.select("profile_id", F.explode(F.array_compact(F.array(T.acronym(F.col("lexical")), F.when(F.length(compact).between(2, 10), compact)))).alias("k"))
     return joins.blocked_pairs(keys, "k", "profile_id", max_block)
 
 
-def block_containment(p: DataFrame, max_block: int = 200) -> DataFrame:
+def block_containment(p: DataFrame, max_block: int | None = 200) -> DataFrame:
     """Pairs that share a word, where one name of four or more characters is part of the other."""
     keys = p.select("profile_id", F.explode(F.array_distinct(T.name_tokens(F.col("lexical")))).alias("k"))
     pairs = joins.blocked_pairs(keys, "k", "profile_id", max_block)
@@ -68,7 +69,31 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def block_fuzzy(p: DataFrame, threshold: float = FUZZY_AT, max_block: int = 200) -> DataFrame:
+def letter_bound(a: pd.Series, b: pd.Series, buckets: int = 64) -> np.ndarray:
+    """Upper bound of the similarity of each pair: twice the letters both have over all letters."""
+    texts, place = np.unique(np.concatenate([a.to_numpy(object), b.to_numpy(object)]).astype(str), return_inverse=True)
+    sizes = np.array([len(t) for t in texts])
+    letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32) % buckets
+    counts = np.zeros((len(texts), buckets), np.int32)
+    np.add.at(counts, (np.repeat(np.arange(len(texts)), sizes), letters), 1)
+    left, right = place[: len(a)], place[len(a) :]
+    return 2 * np.minimum(counts[left], counts[right]).sum(1) / np.maximum(sizes[left] + sizes[right], 1)
+
+
+def ratio_at_least(threshold: float):
+    """The similarity of two strings where it may reach ``threshold``, null where their letters rule it out."""
+
+    @F.pandas_udf(DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.full(len(a), np.nan)
+        for i in np.flatnonzero(letter_bound(a, b) >= threshold - 1e-9):
+            out[i] = difflib.SequenceMatcher(None, a.iloc[i], b.iloc[i]).ratio()
+        return pd.Series(out).where(~np.isnan(out), None).astype("Float64")
+
+    return run
+
+
+def block_fuzzy(p: DataFrame, threshold: float = FUZZY_AT, max_block: int | None = 200) -> DataFrame:
     """Pairs of names that begin alike, are of nearby length and similar by matching blocks; with ``lexical``."""
     bucket = F.floor(F.length("lexical") / 4)
     keys = p.where("lexical <> ''").select("profile_id", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("s"), F.substring("lexical", 1, 1).alias("c"))
@@ -77,7 +102,21 @@ def block_fuzzy(p: DataFrame, threshold: float = FUZZY_AT, max_block: int = 200)
     a, b = F.col("l.lexical"), F.col("r.lexical")
     # the ratio cannot exceed twice the shorter length over both lengths
     near = both.where(2 * F.least(F.length(a), F.length(b)) >= threshold * (F.length(a) + F.length(b)))
-    return near.select("left_id", "right_id", sequence_ratio(a, b).alias("lexical")).where(F.col("lexical") >= threshold)
+    return near.select("left_id", "right_id", ratio_at_least(threshold)(a, b).alias("lexical")).where(F.col("lexical") >= threshold)
+
+
+def block_embedding(neighbours: DataFrame) -> DataFrame:
+    """Pairs that one of two profiles has among its nearest, from ``(id, neighbour, cosine, rank)``.
+
+    Adds the cosine (the greater of the two directions where rounding tells them apart), the
+    rank in each direction, whether both directions hold, and the signal ``(cosine + 1) / 2``.
+    """
+    n = neighbours.where("id <> neighbour").withColumn("forth", F.col("id") < F.col("neighbour"))
+    g = n.groupBy(F.least("id", "neighbour").alias("left_id"), F.greatest("id", "neighbour").alias("right_id")).agg(
+        F.max("cosine").alias("cosine"), F.min(F.when(F.col("forth"), F.col("rank"))).alias("left_rank"), F.min(F.when(~F.col("forth"), F.col("rank"))).alias("right_rank")
+    )
+    signal = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("cosine") + 1) / 2))
+    return g.withColumn("reciprocal", F.col("left_rank").isNotNull() & F.col("right_rank").isNotNull()).withColumn("embedding", signal)
 
 
 def with_profiles(pairs: DataFrame, p: DataFrame) -> DataFrame:
@@ -87,6 +126,23 @@ def with_profiles(pairs: DataFrame, p: DataFrame) -> DataFrame:
     return pairs.join(side("l", "left_id"), "left_id").join(side("r", "right_id"), "right_id")
 
 
+def context_overlap(pairs: DataFrame, context: DataFrame, name: str) -> DataFrame:
+    """Adds ``name``: the Jaccard similarity of what two profiles have around them, null where one has nothing.
+
+    ``context`` has ``(profile_id, x)``, say neighbours in the graph. Shared items are counted
+    by joins, so no profile's surroundings are ever gathered.
+    """
+    c = context.select("profile_id", "x").where("x is not null").distinct()
+    size = c.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"))
+    left = pairs.select("left_id", "right_id").join(c.withColumnRenamed("profile_id", "left_id"), "left_id")
+    shared = left.join(c.withColumnRenamed("profile_id", "right_id"), ["right_id", "x"]).groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("_k"))
+    out = pairs.join(shared, ["left_id", "right_id"], "left")
+    for side in ("left", "right"):
+        out = out.join(size.select(F.col("profile_id").alias(f"{side}_id"), F.col("n").alias(f"_{side}")), f"{side}_id", "left")
+    both = F.coalesce("_k", F.lit(0))
+    return out.withColumn(name, both / (F.col("_left") + F.col("_right") - both)).drop("_k", "_left", "_right")
+
+
 def candidates(routes: dict[str, DataFrame]) -> DataFrame:
     """Union of candidate routes: each pair once with the sorted list of its methods."""
     out = None
@@ -118,16 +174,16 @@ def pair_signals(both: DataFrame) -> DataFrame:
     acr = F.coalesce(ac == compact(b), F.lit(False)) | F.coalesce(bc == compact(a), F.lit(False)) | F.coalesce(ac == bc, F.lit(False))
     words = lambda c: F.when(c("description").isNotNull(), F.array_distinct(T.name_tokens(T.lexical_view(F.lower(c("description"))))))
     ratio = lambda c: F.least(a(c), b(c)) / F.greatest(a(c), b(c))
-    context = lambda c: jaccard(a(c), b(c)) if c in has else F.lit(None).cast("double")
+    context = lambda c: F.col(c) if c in both.columns else F.lit(None).cast("double")
     signals = {
         "name_exact": (a("normalized") == b("normalized")).cast("double"),
         "lexical": F.coalesce(F.col("lexical"), sequence_ratio(a("lexical"), b("lexical"))) if "lexical" in both.columns else sequence_ratio(a("lexical"), b("lexical")),
         "acronym": acr.cast("double"),
         "containment": (F.contains(a("lexical"), b("lexical")) | F.contains(b("lexical"), a("lexical"))).cast("double"),
         "description": jaccard(words(a), words(b)),
-        "embedding": (cosine(a("embedding"), b("embedding")) + 1) / 2 if "embedding" in has else F.lit(None).cast("double"),
+        "embedding": F.col("embedding") if "embedding" in both.columns else (cosine(a("embedding"), b("embedding")) + 1) / 2 if "embedding" in has else F.lit(None).cast("double"),
         "type": F.when(a("type_family").isNull() | b("type_family").isNull(), None).otherwise((a("type_family") == b("type_family")).cast("double")),
-        "neighbourhood": context("neighbours"),
+        "neighbourhood": context("neighbourhood"),
         "relation_context": context("relation_context"),
         "provenance": F.when(a("document_id") != b("document_id"), 0.0).when(a("chunk_id") != b("chunk_id"), 0.5).otherwise(1.0),
         "frequency": ratio("frequency"),
@@ -165,21 +221,29 @@ def judge_action(relationship: Column) -> Column:
 
 
 def _cluster(pairs: list[tuple[float, str, str, str]], vetoes: set[tuple[str, str]]) -> tuple[dict[str, str], list[str]]:
-    """Greedy merging in the order given; returns member -> root and the pair ids that a veto blocked."""
-    members: dict[str, set[str]] = {}
+    """Greedy merging in the order given; returns member -> root and the pair ids that a veto blocked.
+
+    Each cluster keeps the set of nodes that veto it, so a test costs the smaller of two sets.
+    """
+    home: dict[str, list[set[str]]] = {}
+    enemies: dict[str, set[str]] = {}
+    for a, b in vetoes:
+        enemies.setdefault(a, set()).add(b)
+        enemies.setdefault(b, set()).add(a)
     blocked = []
     for _, pair, a, b in pairs:
-        x, y = members.setdefault(a, {a}), members.setdefault(b, {b})
+        x, y = (home.setdefault(n, [{n}, set(enemies.get(n, ()))]) for n in (a, b))
         if x is y:
             continue
-        small, big = sorted((x, y), key=len)
-        if any((min(i, j), max(i, j)) in vetoes for i in small for j in big):
+        if not x[0].isdisjoint(y[1]) if len(x[0]) < len(y[1]) else not y[1].isdisjoint(x[0]):
             blocked.append(pair)
             continue
-        big |= small
-        for i in small:
-            members[i] = big
-    return {m: min(s) for m, s in members.items()}, blocked
+        small, big = sorted((x, y), key=lambda c: len(c[0]))
+        big[0] |= small[0]
+        big[1] |= small[1]
+        for n in small[0]:
+            home[n] = big
+    return {n: min(c[0]) for n, c in home.items()}, blocked
 
 
 def constrained_clusters(decisions: DataFrame, pair: str = "pair_id", left: str = "left_id", right: str = "right_id") -> tuple[DataFrame, DataFrame]:

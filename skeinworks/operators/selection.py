@@ -3,21 +3,42 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import retrieval
 
 
-def balanced_quotas(groups: list[str], total: int, seed: str) -> dict[str, int]:
-    """Even split of a total; what is left over goes to the groups of smallest hash."""
-    if not groups:
-        return {}
-    each, rest = divmod(total, len(groups))
-    order = sorted(groups, key=lambda g: hashlib.sha256(f"{seed}\0{g}".encode()).hexdigest())
-    return {g: each + (g in order[:rest]) for g in groups}
+def balanced_quotas(groups: DataFrame, group: str, total: int, seed: str) -> DataFrame:
+    """``(group, quota)``: an even split of a total; what is left over goes to the groups of smallest hash."""
+    g = groups.select(group).where(F.col(group).isNotNull()).distinct()
+    n = g.count()
+    if not n:
+        return g.withColumn("quota", F.lit(0).cast("long"))
+    each, rest = divmod(total, n)
+    extra = g.orderBy(retrieval.stable_tie(seed, F.col(group).cast("string")), group).limit(rest).withColumn("_x", F.lit(1))
+    return g.join(extra, group, "left").select(group, (F.lit(each) + F.coalesce("_x", F.lit(0))).cast("long").alias("quota"))
+
+
+def quota_schedule(quotas: DataFrame, group: str) -> DataFrame:
+    """``(position, group)``: the groups in turn, each as often as its quota.
+
+    The place of a group's k-th turn is the turns before round k, which is the sum of the
+    quotas cut at k, and the groups before it that still have a turn; only rounds and groups
+    meet, never turns.
+    """
+    from pyspark.sql import Window
+
+    turns = quotas.where("quota > 0").select(group, F.explode(F.sequence(F.lit(1).cast("long"), "quota")).alias("round"))
+    per = turns.groupBy("round").agg(F.count(F.lit(1)).alias("n"))
+    before = per.select("round", (F.sum("n").over(Window.orderBy("round")) - F.col("n")).alias("before"))
+    inside = turns.withColumn("k", F.row_number().over(Window.partitionBy("round").orderBy(group)))
+    return inside.join(before, "round").select((F.col("before") + F.col("k")).alias("position"), group)
 
 
 def concentration_delta(count: Column, added: Column) -> Column:
@@ -25,16 +46,17 @@ def concentration_delta(count: Column, added: Column) -> Column:
     return (count + added) * (count + added) - count * count
 
 
-def stratified_sample(rows: DataFrame, stratum: str, key: str, quotas: dict[str, int], seed: str) -> DataFrame:
-    """The quota of each stratum, taken in order of a seeded hash; few rows a stratum reach the window."""
+def stratified_sample(rows: DataFrame, stratum: str, key: str, quotas: DataFrame, seed: str) -> DataFrame:
+    """The quota of each stratum, from ``(stratum, quota)``, taken in order of a seeded hash.
+
+    The window keeps only the first rows of each stratum before it is sorted as a whole.
+    """
     from pyspark.sql import Window
 
-    q = F.create_map(*[F.lit(x) for kv in sorted(quotas.items()) for x in kv])[F.col(stratum)]
     tie = retrieval.stable_tie(seed, F.col(key).cast("string"))
-    w = Window.partitionBy(stratum).orderBy("_t", key)
-    top = max(quotas.values(), default=0)
-    ranked = rows.withColumn("_t", tie).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top)
-    return ranked.where(F.col("_n") <= q).drop("_t", "_n")
+    top = quotas.agg(F.max("quota")).first()[0] or 0
+    ranked = rows.withColumn("_t", tie).withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy("_t", key))).where(F.col("_n") <= int(top))
+    return ranked.join(quotas.select(stratum, "quota"), stratum).where("_n <= quota").select(*rows.columns)
 
 
 def hard_negatives(scores: DataFrame, gold: DataFrame, answered: DataFrame, query: str, doc: str, k: int) -> DataFrame:
@@ -43,6 +65,47 @@ def hard_negatives(scores: DataFrame, gold: DataFrame, answered: DataFrame, quer
     return retrieval.top_k(s, query, doc, k)
 
 
+def answer_holders(documents: DataFrame, doc: str, text: str, questions: DataFrame, query: str, answer: str, max_bytes: int = 32 << 20) -> DataFrame:
+    """``(query, doc)`` of every document whose whole text holds the words of a question's answer in a row.
+
+    Answers are broadcast in blocks of at most ``max_bytes``, and each document is read once
+    a block by an automaton of all the block's answers. Generic and empty answers are held by
+    none.
+    """
+    from ..functions import text as T
+
+    phrase = T.normalized_phrase(F.col(answer))
+    a = questions.where(~F.lower(F.trim(answer)).isin(*T.GENERIC_ANSWERS)).select(phrase.alias("p"), F.col(query).alias("q")).where("p <> ''").distinct()
+    total = a.agg(F.sum(F.octet_length("p") + 64)).first()[0] or 0
+    blocks = max(1, -(-int(total) // max_bytes))
+    d = documents.select(doc, F.concat(F.lit(" "), T.normalized_phrase(F.col(text)), F.lit(" ")).alias("w")).where(F.col("w").isNotNull())
+    kinds = (documents.schema[doc].dataType.simpleString(), questions.schema[query].dataType.simpleString())
+    out = None
+    for k in range(blocks):
+        asked: dict[str, list] = {}
+        for r in a.where(F.pmod(F.xxhash64("p"), F.lit(blocks)) == k).collect():
+            asked.setdefault(f" {r['p']} ", []).append(r["q"])
+        held = documents.sparkSession.sparkContext.broadcast(asked)
+
+        def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for p, ids in held.value.items():
+                automaton.add_word(p, ids)
+            automaton.make_automaton()
+            for b in batches:
+                rows, ids = [], []
+                for i, w in enumerate(b.column(1).to_pylist()):
+                    for q in {q for _, qs in automaton.iter(w) for q in qs} if len(automaton) else ():
+                        rows.append(i)
+                        ids.append(q)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, kind)], names=[doc, query])
+
+        kind = pa.int64() if kinds[1] == "bigint" else pa.string()
+        hit = d.mapInArrow(find, f"{doc} {kinds[0]}, {query} {kinds[1]}").select(query, doc)
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
 def greedy_select(candidates: DataFrame, item: str, value: str, caps: dict[str, int], size: int) -> DataFrame:
     """Up to ``size`` items of highest value such that no group of a capped column is chosen more often than its cap.
 
@@ -73,3 +136,69 @@ def greedy_select(candidates: DataFrame, item: str, value: str, caps: dict[str,
 
     kind = candidates.schema[item].dataType.simpleString()
     return c.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(solve, f"{item} {kind}, position long")
+
+
+def facility_negatives(scores: DataFrame, documents: DataFrame, query: str, doc: str, size: int, caps: dict[str, int], seed: str, max_documents: int = 200_000) -> DataFrame:
+    """``(doc, position, owner, gain)``: documents that together stay as close as possible to all queries.
+
+    ``scores`` has the eligible ``(query, doc, score)``, ``documents`` the capped columns. A
+    query is covered by the highest of its scores, relative to its best one, among the
+    chosen; the next document is the one that adds most, of equals the one whose groups are
+    used least, then the one of smallest hash. If caps leave nothing, all caps grow by one.
+    ``owner`` is the query that gained most. Gains only shrink, so a document is looked at
+    again only when its last gain still leads. The choice is sequential and runs on the
+    driver over at most ``max_documents`` documents; more are an error.
+    """
+    import heapq
+
+    spark = scores.sparkSession
+    cols = sorted(caps)
+    s = scores.where("score > 0").groupBy(query, doc).agg(F.max("score").alias("score"))
+    best = s.groupBy(query).agg(F.max("score").alias("best"))
+    rows = s.join(best, query).select(F.col(doc).alias("d"), F.struct(F.col(query).alias("q"), (F.col("score") / F.col("best")).alias("s")).alias("x"))
+    rows = rows.groupBy("d").agg(F.array_sort(F.collect_list("x")).alias("near")).join(documents.select(F.col(doc).alias("d"), *cols).dropDuplicates(["d"]), "d").limit(max_documents + 1).collect()
+    if len(rows) > max_documents:
+        raise ValueError(f"more than {max_documents} eligible documents")
+    tie = {r["d"]: hashlib.sha256(f"{seed}\0{r['d']}".encode()).hexdigest() for r in rows}
+    by_doc = {r["d"]: r for r in rows}
+    covered: dict[object, float] = {}
+    used: dict[tuple[str, object], int] = {}
+    limit = dict(caps)
+
+    def gain(d: object) -> float:
+        return round(sum(max(0.0, x["s"] - covered.get(x["q"], 0.0)) for x in by_doc[d]["near"]), 15)
+
+    def rank(d: object, g: float) -> tuple:
+        return (-g, *(used.get((c, by_doc[d][c]), 0) for c in cols), tie[d])
+
+    heap = [(rank(d, gain(d)), d) for d in by_doc]
+    heapq.heapify(heap)
+    out, waiting = [], []
+    while len(out) < size and (heap or waiting):
+        if not heap:  # all that are left are capped
+            limit = {c: n + 1 for c, n in limit.items()}
+            heap, waiting = [(rank(d, gain(d)), d) for d in waiting], []
+            heapq.heapify(heap)
+        old, d = heapq.heappop(heap)
+        if any(used.get((c, by_doc[d][c]), 0) >= limit[c] for c in cols):
+            waiting.append(d)
+            continue
+        g = gain(d)
+        if rank(d, g) != old:
+            heapq.heappush(heap, (rank(d, g), d))
+            continue
+        near = by_doc[d]["near"]
+        owner = min(near, key=lambda x: (-max(0.0, x["s"] - covered.get(x["q"], 0.0)), -x["s"], str(x["q"])))["q"]
+        for x in near:
+            covered[x["q"]] = max(covered.get(x["q"], 0.0), x["s"])
+        for c in cols:
+            used[c, by_doc[d][c]] = used.get((c, by_doc[d][c]), 0) + 1
+        out.append((d, len(out) + 1, owner, round(g, 12)))
+    kind = lambda c: scores.schema[c].dataType.simpleString()
+    return spark.createDataFrame(out, f"{doc} {kind(doc)}, position long, owner {kind(query)}, gain double")
+
+
+def overlap(left: DataFrame, right: DataFrame, key: str, role: str) -> DataFrame:
+    """``(key, left_role, right_role)`` of what two selections share."""
+    one = lambda df, name: df.groupBy(key).agg(F.min(role).alias(name))
+    return one(left, "left_role").join(one(right, "right_role"), key)

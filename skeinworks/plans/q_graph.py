@@ -60,14 +60,19 @@ def node_aggregate(t):
 
 
 @query(
-    f"with recursive {M}, {_REL}, {_EDGE}, d as (select source, target from eg where weight >= 3 and source <> target), e as (select source as a, target as b from d union select target, source from d), "
+    f"with recursive {M}, {_REL}, {_EDGE}, d as (select source, target from eg where source <> target), e as (select source as a, target as b from d union select target, source from d), "
     "w(node, c) as (select distinct a, a from e union select e.b, w.c from w join e on e.a = w.node and w.c < e.b) select node, min(c) as component from w group by 1"
 )
 def connected_components(t):
-    return graph.components(named_edges(t).where("weight >= 3"))
+    return graph.components(named_edges(t))
 
 
-@query()
+@query(
+    f"with recursive {M}, {_REL}, {_EDGE}, d as (select source, target from eg where source <> target), e as (select source as a, target as b from d union select target, source from d), "
+    "w(node, c) as (select distinct a, a from e union select e.b, w.c from w join e on e.a = w.node and w.c < e.b), k as (select node, min(c) as c from w group by 1), n as (select distinct original_name as x from m where original_name is not null), "
+    "s as (select coalesce(c, x) as c, count(*) as s, max((c is null)::int) as lone from n left join k on node = x group by 1), t as (select count(*) as edges, sum((source = target)::int) as loops, sum((source <> target)::int) as simple from eg) "
+    "select sum(s)::bigint as nodes, edges::bigint as edges, count(*)::bigint as components, sum(lone)::bigint as isolates, max(s)::bigint as largest_component, loops::bigint as loops, round(2 * edges / sum(s), 6) as average_degree, round(2 * simple / (sum(s) * (sum(s) - 1)), 6) as density from s, t group by edges, loops, simple"
+)
 def graph_topology(t):
     e = named_edges(t)
     n = mentions(t, "original_name").where("original_name is not null")
@@ -230,14 +235,21 @@ def exact_cosine_knn(t):
     return vectors.exact_knn(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 10)
 
 
-@query()
+_KNN = (
+    "e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), s as (select q.vec_id as left_id, e.vec_id as right_id, "
+    "round(list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(e.v, e.v)), 6) as cosine from e q join e on q.vec_id <> e.vec_id), "
+    "k as (select left_id, right_id, cosine, rank::int as rank from (select *, row_number() over (partition by left_id order by cosine desc, right_id) as rank from s) where rank <= 10)"
+)
+
+
+@query(f"with {_KNN} select * from k")
 def lsh_knn(t):
     from ..operators import vectors
 
     return vectors.block_knn(t("embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 64, 10)
 
 
-@query()
+@query(f"with {_KNN} select a.left_id, a.right_id, a.cosine, (a.cosine + 1) / 2 as signal from k a join k b on a.left_id = b.right_id and a.right_id = b.left_id where a.left_id < a.right_id")
 def reciprocal_neighbours(t):
     from ..operators import vectors
 

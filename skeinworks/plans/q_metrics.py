@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import joins, latest, metrics, retrieval, stats
+from ..operators import joins, latest, metrics, retrieval, selection, stats
 from .registry import A, M, R, query
 
 _RM = (
@@ -314,15 +314,28 @@ def role_and_links(t):
     return j.groupBy(F.when(F.col("k").isNull(), "unused").otherwise("gold").alias("role")).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("k"), F.lit(0)).alias("links"))
 
 
+_QUOTA = (
+    "g as (select distinct question_type from questions where question_type is not null), o as (select question_type, row_number() over (order by substr(sha256('quota' || chr(0) || question_type), 1, 16), question_type) as k, count(*) over () as n from g), "
+    "qu as (select question_type, 90 // n + (k <= 90 % n)::int as quota from o)"
+)
+
+
+@query(f"with {_QUOTA} select question_type, quota::bigint as quota from qu")
+def balanced_quotas(t):
+    return selection.balanced_quotas(t("questions"), "question_type", 90, "quota")
+
+
+@query(f"with {_QUOTA}, turns as (select question_type, unnest(range(1, quota + 1)) as r from qu) select row_number() over (order by r, question_type)::bigint as position, question_type from turns")
+def quota_schedule(t):
+    return selection.quota_schedule(selection.balanced_quotas(t("questions"), "question_type", 90, "quota"), "question_type")
+
+
 @query(
-    "with q as (select question_type, question_id, row_number() over (partition by question_type order by substr(sha256('seed' || chr(0) || question_id), 1, 16), question_id) as n from questions where question_type is not null) select question_type, question_id from q where n <= 25"
+    f"with {_QUOTA}, q as (select question_type, question_id, row_number() over (partition by question_type order by substr(sha256('seed' || chr(0) || question_id), 1, 16), question_id) as n from questions where question_type is not null) select question_type, question_id from q join qu using (question_type) where n <= quota"
 )
 def stratified_questions(t):
-    from ..operators import selection
-
     q = t("questions").select("question_type", "question_id").where("question_type is not null")
-    kinds = [r[0] for r in q.select("question_type").distinct().limit(1000).collect()]
-    return selection.stratified_sample(q, "question_type", "question_id", dict.fromkeys(kinds, 25), "seed")
+    return selection.stratified_sample(q, "question_type", "question_id", selection.balanced_quotas(q, "question_type", 90, "quota"), "seed")
 
 
 @query(

@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import models, relations, selection, stats
+from ..operators import models, relations, retrieval, selection, stats
 from . import pipeline
 from .q_graph import _EDGE, _REL, named_edges
 from .q_graph import relations as rel
 from .q_metrics import _answers, _rank_rows, _retrievals
-from .q_text import _BM25, _scores, mentions
+from .q_text import _BM25, mentions
 from .registry import A, M, R, query
 
 
@@ -45,15 +45,30 @@ def neighbourhood_expand(t):
     return relations.expand(e, hubs, "n", 5)
 
 
+_ASKED = _BM25.replace("(select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from eval_items)", "(select question_id as item_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) as term from questions)")
+_WORDS = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
 @query(
-    f"with {_BM25}, g as (select item_id, doc_id from sc where score > 0 and not exists (select 1 from eval_items e join documents d on true where e.item_id = sc.item_id and d.doc_id = sc.doc_id and contains(lower(d.text), lower(substr(e.text, 1, 40))))) "
-    "select item_id, doc_id, round(score, 6) as score from (select g.item_id, g.doc_id, score, row_number() over (partition by g.item_id order by round(score, 6) desc, g.doc_id) as k from g join sc using (item_id, doc_id)) where k <= 3"
+    f"with {_ASKED}, go as (select distinct question_id, doc_id from (select question_id, unnest(gold_document_ids) as document_id from questions) join documents using (document_id)), "
+    f"an as (select question_id, {_WORDS.format('gold_answer')} as p from questions where lower(trim(gold_answer)) not in ('yes', 'no', 'insufficient information', 'insufficient information.')), "
+    f"dw as (select doc_id, ' ' || {_WORDS.format('text')} || ' ' as w from documents), "
+    "el as (select item_id as question_id, sc.doc_id, round(score, 6) as score from sc left join go on go.question_id = item_id and go.doc_id = sc.doc_id left join an on an.question_id = item_id join dw on dw.doc_id = sc.doc_id "
+    "where score > 0 and go.doc_id is null and not coalesce(p <> '' and contains(w, ' ' || p || ' '), false)) "
+    "select question_id, doc_id, score from (select *, row_number() over (partition by question_id order by score desc, doc_id) as k from el) where k <= 3"
 )
 def hard_negative_eligibility(t):
-    s = _scores(t).withColumn("score", F.round("score", 6))
-    i = t("eval_items").select("item_id", F.lower(F.substring("text", 1, 40)).alias("head"))
-    holds = s.select("item_id", "doc_id").join(i, "item_id").join(t("documents").select("doc_id", F.lower("text").alias("text")), "doc_id").where("contains(text, head)")
-    return selection.hard_negatives(s, holds, holds, "item_id", "doc_id", 3).select("item_id", "doc_id", "score")
+    return selection.hard_negatives(*eligible(t), "question_id", "doc_id", 3).select("question_id", "doc_id", "score")
+
+
+def eligible(t):
+    """Scores of questions and documents, gold documents, and documents of whole texts that hold the answer."""
+    q = t("questions").select("question_id", "question", "gold_answer", "gold_document_ids")
+    d = t("documents").select("doc_id", "document_id", "text")
+    asked = retrieval.term_counts(q, "question_id", "question")
+    s = retrieval.bm25(retrieval.bm25_index(d, "doc_id", "text", asked), "doc_id", q, "question_id", "question").withColumn("score", F.round("score", 6))
+    gold = q.select("question_id", F.explode("gold_document_ids").alias("document_id")).join(d.select("document_id", "doc_id"), "document_id")
+    return s, gold, selection.answer_holders(d, "doc_id", "text", q, "question_id", "gold_answer")
 
 
 @query(f"with {R} select retrieval_outcome, case when retrieval_outcome = 'failure' then 'skipped_upstream_failure' else 'call' end as answer_action, count(*)::bigint as n from r group by 1, 2")
@@ -92,11 +107,9 @@ def inspect_response(t):
     return mentions(t, "provenance").where("provenance is not null").groupBy(*[v.alias(k) for k, v in c.items()]).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    f"with {M} select mention_id, sha256('{{\"description\":' || case when description is null then 'null' else '\"' || description || '\"' end || ',\"name\":\"' || original_name || '\"}}') as profile_hash from m where regexp_full_match(original_name, '[A-Za-z0-9 .]*') and (description is null or regexp_full_match(description, '[A-Za-z0-9 .;]*'))"
-)
+@query(f"with {M} select mention_id, sha256(to_json({{'description': description, 'name': original_name}})) as profile_hash from m")
 def embedding_profile_text(t):
-    m = mentions(t, "original_name", "description").where(F.col("original_name").rlike("^[A-Za-z0-9 .]*$") & (F.col("description").isNull() | F.col("description").rlike("^[A-Za-z0-9 .;]*$")))
+    m = mentions(t, "original_name", "description")
     text = F.to_json(F.struct("description", F.col("original_name").alias("name")), {"ignoreNullFields": "false"})
     return m.select("mention_id", F.sha2(text, 256).alias("profile_hash"))
 
@@ -110,7 +123,15 @@ def bootstrap_by_regime(t):
 @query()
 def resolution_pipeline_gates(t):
     m = mentions(t, "original_name", "document_id", "chunk_id", "entity_type", "description")
-    return pipeline.resolution_gates(pipeline.resolve_entities(m))
+    e = named_edges(t).withColumn("relation", F.col("n_relations").cast("string"))
+    return pipeline.resolution_gates(pipeline.resolve_entities(m, vectors=name_vectors(t), edges=e))
+
+
+def name_vectors(t):
+    """The usable vector of the first mention of each name."""
+    usable = "size(embedding) = 32 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"
+    m = mentions(t, "original_name", "embedding").where("original_name is not null").where(usable)
+    return m.groupBy("original_name").agg(F.min_by("embedding", "mention_id").alias("embedding"))
 
 
 @query(f"with {A} select case when raw_answer is null then 'none' when length(raw_answer) > 40 then 'long' else 'short' end as kind, count(*)::bigint as n, count(distinct substr(sha256(coalesce(raw_answer, '')), 1, 16))::bigint as texts from a group by 1")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import joins, latest
 from ..operators import resolution as ER
+from ..runtime import Stage
 from .q_text import mentions
-from .registry import M, query
+from .registry import M, collapsed, query
 
 _D = (
     "d as (select pair_id, left_mention_id as l, right_mention_id as r, lower(trim(action)) as action, source, score from (select *, row_number() over (partition by pair_id order by decided_at desc, action, left_mention_id, right_mention_id, source, score) as k from pair_decisions "
@@ -76,10 +77,9 @@ def native_profiles(t):
     return ER.profiles(m).select("original_name", "frequency", "diversity", "document_id", "chunk_id", T.lexical_view(F.lower("original_name")).alias("lexical"), "profile_id")
 
 
-@query(f"with {M}, n as (select mention_id, lower(trim(regexp_replace(original_name, '\\s+', ' ', 'g'))) as x, document_id from m where regexp_full_match(original_name, '[ -~]*')) select mention_id, f::bigint as frequency, g::bigint as diversity from n join (select x, count(*) as f, count(distinct document_id) as g from n group by 1) using (x)")
+@query()
 def mention_profiles(t):
-    m = mentions(t, "original_name", "document_id").where(F.col("original_name").rlike("^[ -~]*$"))
-    return ER.mention_profiles(m).select("mention_id", "frequency", "diversity")
+    return ER.mention_profiles(mentions(t, "original_name", "document_id")).select("mention_id", "frequency", "diversity")
 
 
 def _profiles(t):
@@ -95,9 +95,9 @@ def _blocked(key: str, radius: int = 20, limit: int = 200) -> str:
     )
 
 
-@query(f"with {M}, {_P}, {_blocked("select lower(trim(regexp_replace(original_name, '\\s+', ' ', 'g'))) as b, profile_id as i from p where regexp_full_match(original_name, '[ -~]*')")} select left_id, right_id from bp")
+@query(f"with {M}, {_P}, {_blocked(f'select lower({collapsed("original_name")}) as b, profile_id as i from p')} select left_id, right_id from bp")
 def block_exact(t):
-    return ER.block_exact(_profiles(t).where(F.col("original_name").rlike("^[ -~]*$")))
+    return ER.block_exact(_profiles(t))
 
 
 @query(
@@ -125,17 +125,43 @@ def block_fuzzy(t):
     return ER.block_fuzzy(_profiles(t)).withColumn("lexical", F.round("lexical", 6))
 
 
+def _near(t, p, stage):
+    from ..operators import vectors
+    from .q_more import name_vectors
+
+    v = stage.write(name_vectors(t).join(p.select("original_name", "profile_id"), "original_name").select("profile_id", "embedding"), "vectors")
+    return stage.write(ER.block_embedding(vectors.block_knn(v, "profile_id", "embedding", 32, 5).withColumnsRenamed({"left_id": "id", "right_id": "neighbour"})), "near"), v
+
+
+def _routes(p, near, fuzzy):
+    return {
+        "acronym": ER.block_acronym(p), "containment": ER.block_containment(p), "exact_name": ER.block_exact(p), "fuzzy_name": fuzzy,
+        "embedding_neighbour": near, "reciprocal_embedding_neighbour": near.where("reciprocal"),
+    }
+
+
 @query()
 def generate_candidates(t):
     p = _profiles(t)
-    return ER.candidates({"acronym": ER.block_acronym(p), "containment": ER.block_containment(p), "exact_name": ER.block_exact(p), "fuzzy_name": ER.block_fuzzy(p)})
+    stage = Stage(p.sparkSession, "candidates")
+    p = stage.write(p, "profiles")
+    return ER.candidates(_routes(p, _near(t, p, stage)[0], ER.block_fuzzy(p)))
 
 
 @query()
 def score_pairs(t):
+    from .q_graph import named_edges
+
     p = _profiles(t)
-    pairs = ER.candidates({"acronym": ER.block_acronym(p), "containment": ER.block_containment(p), "exact_name": ER.block_exact(p), "fuzzy_name": ER.block_fuzzy(p)})
-    s = ER.score(ER.pair_signals(ER.with_profiles(pairs, p)))
+    stage = Stage(p.sparkSession, "scores")
+    p = stage.write(p, "profiles")
+    near, v = _near(t, p, stage)
+    fuzzy = stage.write(ER.block_fuzzy(p), "fuzzy")
+    pairs = ER.candidates(_routes(p, near, fuzzy)).join(fuzzy, ["left_id", "right_id"], "left")
+    e = named_edges(t).where("source <> target").select("source", "target")
+    ends = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).select(F.col("source").alias("original_name"), F.col("target").alias("x"))
+    pairs = ER.context_overlap(stage.write(pairs, "pairs"), ends.join(p.select("original_name", "profile_id"), "original_name"), "neighbourhood")
+    s = ER.score(ER.pair_signals(ER.with_profiles(pairs, p.join(v, "profile_id", "left"))))
     s = s.withColumn("pair_id", T.joined_id("pair_", F.col("left_id"), F.col("right_id")))
     return ER.decide(s, F.lit(False), F.lit(None).cast("string")).select("pair_id", "left_id", "right_id", F.round("score", 6).alias("score"), "action", "source")
 
@@ -197,10 +223,10 @@ def cluster_size_distribution(t):
 
 
 @query(
-    f"with {M}, x as (select lower(trim(regexp_replace(original_name, '\\s+', ' ', 'g'))) as label, builder_model, original_name from m where regexp_full_match(original_name, '[ -~]+')) select label, count(distinct builder_model)::int as builders, min(original_name) as example from x group by 1 having count(distinct builder_model) >= 3"
+    f"with {M}, x as (select lower({collapsed('original_name')}) as label, builder_model, original_name from m where original_name is not null) select label, count(distinct builder_model)::int as builders, min(original_name) as example from x group by 1 having count(distinct builder_model) >= 3"
 )
 def consensus_entities(t):
-    m = mentions(t, "original_name", "builder_model").where(F.col("original_name").rlike("^[ -~]+$"))
+    m = mentions(t, "original_name", "builder_model").where("original_name is not null")
     g = m.groupBy(T.normalize_label(F.col("original_name")).alias("label")).agg(F.countDistinct("builder_model").cast("int").alias("builders"), F.min("original_name").alias("example"))
     return g.where("builders >= 3")
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import answers as N
 from ..functions import json_repair
 from ..functions import text as T
 from ..operators import latest, retrieval
-from .registry import A, M, query
+from .registry import A, M, collapsed, query
 
 
 def mentions(t, *cols):
@@ -173,30 +174,47 @@ def topic_terms(t):
 
 
 @query(
-    "with k as (select chunk_id, max(content) as content from chunks group by 1), n as (select distinct chunk_id, original_name from mentions where original_name is not null and length(original_name) >= 8) "
+    "with k as (select chunk_id, max(content) as content from chunks group by 1), n as (select distinct chunk_id, original_name from mentions where original_name is not null) "
     "select contains(content, original_name) as found, count(*)::bigint as n from n join k using (chunk_id) group by 1"
 )
 def join_substring_evidence(t):
     k = t("chunks").groupBy("chunk_id").agg(F.max("content").alias("content"))
-    n = t("mentions").where("original_name is not null and length(original_name) >= 8").select("chunk_id", "original_name").distinct()
+    n = t("mentions").where("original_name is not null").select("chunk_id", "original_name").distinct()
     return n.join(k, "chunk_id").groupBy(F.contains("content", "original_name").alias("found")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    "with w as (select distinct builder_model, coalesce(nullif(regexp_extract(builder_model, '([0-9.]+)', 1), ''), '0')::double as size from builder_trust) select builder_model, size, case when size = 0 then 'none' when size < 2 then 'small' else 'large' end as band from w"
+    "with w as (select distinct builder_model, regexp_extract(display_name || ' ' || case when trust_rank % 2 = 0 then trust_rank / 2 || 'B' else trust_rank * 90 || 'M' end, '(?i)([0-9]+(?:\\.[0-9]+)?)\\s*([BM])\\b', ['n', 'u']) as x from builder_trust), s as (select builder_model, case upper(x.u) when 'B' then x.n::double when 'M' then x.n::double / 1000 end as size from w) "
+    "select builder_model, size, case when size is null then 'none' when size < 2 then 'small' else 'large' end as band from s"
 )
 def model_size_bands(t):
-    size = F.coalesce(F.nullif(F.regexp_extract("builder_model", r"([0-9.]+)", 1), F.lit("")), F.lit("0")).cast("double")
-    w = t("builder_trust").select("builder_model", size.alias("size")).distinct()
-    return w.withColumn("band", F.when(F.col("size") == 0, "none").when(F.col("size") < 2, "small").otherwise("large"))
+    # the labels of the table name no size, so one is added from the rank
+    label = F.concat_ws(" ", "display_name", F.expr("case when trust_rank % 2 = 0 then concat(trust_rank / 2, 'B') else concat(trust_rank * 90, 'M') end"))
+    w = t("builder_trust").select("builder_model", T.model_size(label).alias("size")).distinct()
+    return w.withColumn("band", F.when(F.col("size").isNull(), "none").when(F.col("size") < 2, "small").otherwise("large"))
+
+
+_SAID = "trim(regexp_replace(replace(replace(lower({}), '’', chr(39)), chr(39), ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
 @query(
-    f"with {A}, c as (select answer_result_id, regexp_replace(regexp_replace(lower(trim(raw_answer)), '^(?:the )?answer is[: ]*', ''), '[^a-z ]', '', 'g') as p from a where raw_answer is not null) "
-    "select case when p similar to '(yes|yeah|yep|true|affirmative)( .*)?' then 'yes' when p similar to '(no|nope|false|negative)( .*)?' then 'no' else 'other' end as kind, count(*)::bigint as n from c group by 1"
+    f"with {A}, c as (select regexp_replace({_SAID.format('raw_answer')}, '^(the )?answer (to the question )?(is|was) ', '') as p from a where raw_answer is not null) "
+    f"select case when p in ({_in(sorted(N.ABSTENTIONS))}) then 'abstention' when split_part(p, ' ', 1) in ({_in(N.YES)}) then 'yes' when split_part(p, ' ', 1) in ({_in(N.NO)}) then 'no' else 'other' end as kind, count(*)::bigint as n from c group by 1"
 )
 def yes_no_prefixes(t):
     a = latest.latest(t("answers").select("answer_result_id", "ingested_at", "raw_answer"), ["answer_result_id"], [F.desc("ingested_at")]).where("raw_answer is not null")
-    p = F.regexp_replace(F.regexp_replace(F.lower(F.trim("raw_answer")), r"^(?:the )?answer is[: ]*", ""), "[^a-z ]", "")
-    kind = F.when(F.regexp(p, F.lit(r"^(?:yes|yeah|yep|true|affirmative)(?: .*)?$")), "yes").when(F.regexp(p, F.lit(r"^(?:no|nope|false|negative)(?: .*)?$")), "no").otherwise("other")
+    kind = F.coalesce(F.when(N.canonicalize_unanswerable("raw_answer").isNotNull(), "abstention"), N.normalize_yes_no("raw_answer"), F.lit("other"))
     return a.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select original_name, lower(replace({collapsed('original_name')}, 'ß', 'ss')) as surface from (select distinct original_name from mentions where original_name is not null)")
+def surface_keys(t):
+    n = t("mentions").select("original_name").where("original_name is not null").distinct()
+    return n.select("original_name", T.surface_key(F.col("original_name")).alias("surface"))
+
+
+@query()
+def recover_json_status(t):
+    """Every status of the recovery apart, with how many objects came out."""
+    got = json_repair.recover_json(mentions(t, "provenance").select("provenance"), "provenance", "st", "parsed")
+    return got.groupBy(F.col("st").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count("parsed").alias("objects"))

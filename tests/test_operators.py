@@ -45,6 +45,7 @@ def test_blocked_pairs_equal_the_window(spark, n):
     ids = [f"i{i:04d}" for i in range(n)]
     want = {(ids[i], ids[j]) for i in range(n) for j in range(i + 1, n) if n <= 40 or j - i <= 4}
     assert set(rows(joins.blocked_pairs(df, "b", "i", 40))) == want
+    assert set(rows(joins.blocked_pairs(df, "b", "i", None))) == set(itertools.combinations(ids, 2))
 
 
 def test_missing_pairs_and_endpoints(spark):
@@ -166,10 +167,13 @@ def test_lsh_recall(spark):
 
 
 def test_selection(spark):
-    assert selection.balanced_quotas(["a", "b", "c"], 10, "s") and sum(selection.balanced_quotas(["a", "b", "c"], 10, "s").values()) == 10
+    q = selection.balanced_quotas(spark.createDataFrame([(x,) for x in ["a", "b", "c", "a", None]], "g string"), "g", 10, "s")
+    assert sorted(r["quota"] for r in q.collect()) == [3, 3, 4] and selection.balanced_quotas(q.limit(0), "g", 3, "s").count() == 0
+    turns = [r["g"] for r in selection.quota_schedule(spark.createDataFrame([("a", 1), ("b", 3), ("c", 2), ("d", 0)], "g string, quota long"), "g").orderBy("position").collect()]
+    assert turns == ["a", "b", "c", "b", "c", "b"]
     d = spark.createDataFrame([(f"i{i:02d}", float(-i), "s1" if i < 6 else "s2") for i in range(12)], "i string, v double, s string")
     assert [r["i"] for r in selection.greedy_select(d, "i", "v", {"s": 2}, 3).orderBy("position").collect()] == ["i00", "i01", "i06"]
-    assert selection.stratified_sample(d, "s", "i", {"s1": 2, "s2": 1}, "x").groupBy("s").count().orderBy("s").collect()[0]["count"] == 2
+    assert selection.stratified_sample(d, "s", "i", spark.createDataFrame([("s1", 2), ("s2", 1)], "s string, quota long"), "x").groupBy("s").count().orderBy("s").collect()[0]["count"] == 2
     s = spark.createDataFrame([("q", "a", 3.0), ("q", "b", 2.0), ("q", "c", 1.0), ("q", "d", 0.0)], "q string, d string, score double")
     g, n = spark.createDataFrame([("q", "a")], "q string, d string"), spark.createDataFrame([("q", "b")], "q string, d string")
     assert rows(selection.hard_negatives(s, g, n, "q", "d", 5).select("d")) == [("c",)]
