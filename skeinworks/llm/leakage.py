@@ -12,7 +12,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,28 +118,36 @@ def leaked_documents(documents: DataFrame, items: DataFrame, n: int = 8) -> Data
     return leaked_spans(documents, items, n).select("doc_id", "item_id").distinct()
 
 
-def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` without the given runs of words (first word, words); what separates words stays.
+_WORD = re.compile("[A-Za-z0-9]+")
+_ODD = re.compile("[\u0130\u212a]")  # capitals beyond ASCII whose lower case holds an ASCII letter
 
-    Words are counted as in the lower-cased text, character by character, so spans
-    found there fit the text in its own case.
-    """
-    drop = np.zeros(max((a + k for a, k in spans), default=0) + 1, dtype=bool)
-    for a, k in spans:
-        drop[a : a + k] = True
-    out, word, inside = [], -1, False
-    for c in text:
-        low = c.lower()
-        hit = False
-        for x in low:
-            w = "a" <= x <= "z" or "0" <= x <= "9"
-            if w and not inside:
-                word += 1
-            inside = w
-            hit = hit or w and word < len(drop) and drop[word]
-        if not hit:
-            out.append(c)
-    return "".join(out)
+
+def _word_ends(text: str) -> list[tuple[int, int]]:
+    """Start and end of each word of the lower-cased text, in the text as it stands."""
+    if not _ODD.search(text):
+        return [m.span() for m in _WORD.finditer(text)]
+    out, inside = [], False
+    for i, c in enumerate(text):
+        for x in c.lower():
+            word = x in "abcdefghijklmnopqrstuvwxyz0123456789"
+            if word and not inside:
+                out.append((i, i + 1))
+            elif word:
+                out[-1] = (out[-1][0], i + 1)
+            inside = word
+    return out
+
+
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the given runs of words (first word, words); what separates words stays."""
+    words = _word_ends(text)
+    drop = sorted({i for a, k in spans for i in range(a, min(a + k, len(words)))})
+    out, at = [], 0
+    for i in drop:
+        start, end = words[i]
+        out.append(text[at : max(at, start)])
+        at = end
+    return "".join(out) + text[at:]
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, n: int = 8, action: str = "document") -> DataFrame:
@@ -153,9 +163,10 @@ def decontaminate(documents: DataFrame, items: DataFrame, n: int = 8, action: st
         raise ValueError("action is document or span")
     per = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "n_words")).alias("_spans"))
 
-    @F.udf("string")
-    def rewrite(text, runs):
-        return text if text is None or not runs else cut_words(text, [(r["first_word"], r["n_words"]) for r in runs])
+    @F.pandas_udf("string")
+    def rewrite(text: pd.Series, runs: pd.Series) -> pd.Series:
+        cut = [None if t is None else cut_words(t, [(r["first_word"], r["n_words"]) for r in k]) for t, k in zip(text, runs)]
+        return pd.Series(cut, dtype=object)
 
     hit = documents.join(per, "doc_id").withColumn("text", rewrite("text", "_spans")).select(documents.columns)
     return documents.join(per.select("doc_id"), "doc_id", "left_anti").unionByName(hit)

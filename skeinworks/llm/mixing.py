@@ -3,8 +3,9 @@
 Every source is a stream of blocks of tokens. Block j of a source with share w may be
 scheduled from slot floor(j / w) on and is due by slot ceil((j + 1) / w); earliest
 deadline first keeps every source within one block of its share at every slot.
-The schedule has a bounded number of slots, since blocks grow with the size of the
-mix; only blocks are scheduled there, and documents take the slots of their blocks.
+Shares are whole numbers of blocks in a period of slots, and a Pfair schedule begins
+anew after each period, so one period is scheduled however large the mix is; documents
+take the slots of their blocks.
 """
 
 from __future__ import annotations
@@ -87,7 +88,19 @@ def schedule(lengths: list[int], slots: int) -> Iterator[tuple[int, int, int]]:
         heapq.heappush(waiting, ((j + 1) * whole // lengths[i], i, j + 1))
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = 4096, tokenizer: str = TOKENIZER, max_slots: int = 1 << 20, max_targets: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def shares_of_period(lengths: list[int], period: int) -> list[int]:
+    """Blocks of each source in a period of slots, by largest remainder, at least one each; they sum to the period."""
+    whole = sum(lengths)
+    out = [max(1, n * period // whole) for n in lengths]
+    order = sorted(range(len(lengths)), key=lambda i: (-(lengths[i] * period % whole), i))
+    for k in range(period - sum(out)):
+        out[order[k]] += 1
+    while sum(out) > period:  # sources below one block took some from the largest
+        out[out.index(max(out))] -= 1
+    return out
+
+
+def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = 4096, tokenizer: str = TOKENIZER, period: int = 1 << 20, max_targets: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Chosen documents and the share that each source got.
 
     The first frame has one row a use of a document: ``doc_id, source, repeat`` (from 1),
@@ -102,10 +115,10 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     within ``max_repeats``; with it, a source that cannot give its part gives all it may,
     and the shares say so. A target without documents has share 0. Of targets of one
     spelling-independent name, or with a null weight or cap, the greatest counts. There
-    may be up to ``max_targets`` targets. Blocks have ``block`` tokens, or more if the mix
-    would have more than ``max_slots`` of them; at every slot each source is within one
-    block of its share. Prefix sums are made over hashed ranges in two
-    steps, so a source may hold any part of all rows.
+    may be up to ``max_targets`` targets. At every slot each source is within one block of
+    ``block`` tokens of its share, which is rounded to a ``period``-th. Prefix sums are made
+    over hashed ranges in two steps, more ranges for more rows, so a source may hold any
+    part of all rows. ``tokenizer`` is a vocabulary file that every executor can read.
     """
     spark = documents.sparkSession
     stage = Stage(spark, "mixing")
@@ -118,7 +131,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     docs = pick(documents, doc_id="doc_id", source="source", text="text").where("doc_id is not null and text is not null and text <> ''")
     docs = docs.withColumn("key", source_key("source")).where(F.col("key").isin(names)) if names else docs.where("false").withColumn("key", F.lit(""))
     sized = stage.write(count_tokens(docs.select("doc_id", "key", "text"), "text", tokenizer).where("n_tokens > 0"), "sized")
-    have = {r["key"]: r["n"] for r in sized.groupBy("key").agg(F.sum("n_tokens").alias("n")).collect()}
+    totals = sized.groupBy("key").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    have = {r["key"]: r["n"] for r in totals}
     quota = plan_quotas(have, {k: info[k]["w"] for k in names}, {k: info[k]["r"] for k in names}, total_tokens)
     share_schema = "source string, target_weight double, tokens long, share double, max_repeats int, available long"
     if not quota:
@@ -129,7 +143,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     uses = sized.join(F.broadcast(plan), "key").selectExpr("*", "explode(sequence(0L, full)) as pass").where("pass < full or quota > full * total")
     uses = uses.withColumn("h", F.xxhash64("doc_id", "pass"))
     # whole passes come in any fixed order; ranges of the hash make the two steps of the prefix sums
-    uses = uses.withColumn("range", F.shiftrightunsigned("h", 54))
+    bits = max(10, (max(r["rows"] for r in totals) >> 16).bit_length())
+    uses = uses.withColumn("range", F.shiftrightunsigned("h", 64 - bits))
     per = uses.groupBy("key", "pass", "range").agg(F.sum("n_tokens").alias("t"))
     before = per.selectExpr("key", "pass", "range", "sum(t) over (partition by key, pass order by range) - t as before")
     placed = uses.join(before, ["key", "pass", "range"]).selectExpr(
@@ -140,23 +155,28 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     got = {r["key"]: r["n"] for r in used.groupBy("key").agg(F.sum("n_tokens").alias("n")).collect()}
     whole = sum(got.values())
     keys = sorted(got)
-    lengths = [got[k] for k in keys]
-    block = max(block, -(-whole // max_slots))
-    slots = whole // block
+    part = shares_of_period([got[k] for k in keys], period)
     shares = spark.createDataFrame(
         [(info[k]["source"], info[k]["w"], got.get(k, 0), got.get(k, 0) / whole if whole else 0.0, info[k]["r"], have.get(k, 0)) for k in names], share_schema
     )
 
+    blocks = -(-whole // block)
+    slots = min(period, blocks + len(keys))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
             chunk = []
-            for i, j, slot in schedule(lengths, slots):
+            for i, j, slot in schedule(part, slots):
                 chunk.append((keys[i], j, slot))
                 if len(chunk) == 65536 or slot == slots - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*chunk)], names=["key", "block", "slot"])
                     chunk = []
 
     timed = spark.range(1, numPartitions=1).mapInArrow(run, "key string, block long, slot long")
-    out = used.withColumn("block", F.floor(F.col("start") / block).cast("long")).join(timed, ["key", "block"], "left")
-    # the last, partial block of a source has no slot of its own and comes at the end
-    return out.select("doc_id", "source", "repeat", "n_tokens", "start", F.coalesce("slot", F.lit(slots)).alias("slot")), shares
+    sizes = spark.createDataFrame(list(zip(keys, part)), "key string, part long")
+    nth = F.floor(F.col("start") / block).cast("long")
+    placed = used.join(F.broadcast(sizes), "key").withColumns({"block": nth % F.col("part"), "round": F.floor(nth / F.col("part")).cast("long")})
+    out = placed.join(timed, ["key", "block"], "left")
+    # a block that is due after the last slot of a mix shorter than a period comes at the end
+    slot = F.col("round") * period + F.coalesce("slot", F.lit(slots))
+    return out.select("doc_id", "source", "repeat", "n_tokens", "start", slot.alias("slot")), shares

@@ -63,4 +63,8 @@ select k.x as mention_a, k.y as mention_b from k join k j on j.x = k.y and j.y =
 with dw as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents), iw as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from eval_items),
 dg as (select doc_id, array_to_string(w[i:i + 7], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 6)) i from dw)), ig as (select item_id, array_to_string(w[i:i + 7], ' ') g from (select item_id, w, unnest(range(1, len(w) - 6)) i from iw))
 select distinct doc_id, item_id from dg join ig using (g)""",
+    "p8_kept": """
+with dw as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents), iw as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from eval_items),
+dg as (select doc_id, array_to_string(w[i:i + 7], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 6)) i from dw)), ig as (select item_id, array_to_string(w[i:i + 7], ' ') g from (select item_id, w, unnest(range(1, len(w) - 6)) i from iw))
+select distinct doc_id from documents where doc_id not in (select doc_id from dg join ig using (g))""",
 }

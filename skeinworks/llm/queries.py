@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..runtime import table
 from . import answers, components, leakage, mixing, names, neighbours, quantiles, reading, splitting, survivors
 
@@ -53,6 +55,17 @@ def p8_found(spark, d):
     return leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_kept(spark, d):
+    """Documents without any leak."""
+    return leakage.decontaminate(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id")
+
+
+def p8_cleaned(spark, d):
+    """Every document with its length before and after the spans that leaked are cut."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.length("text").alias("chars"))
+    return leakage.decontaminate(docs, table(spark, d, "eval_items"), action="span").select("doc_id", "chars", F.length("text").alias("chars_left"))
+
+
 def p9_mixture(spark, d):
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[0]
 
@@ -66,7 +79,7 @@ def p10_found(spark, d):
 
 
 def queries():
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p8_kept": p8_kept, "p8_cleaned": p8_cleaned, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 
 def oracle_sql():

@@ -64,26 +64,29 @@ def claims(newest: DataFrame) -> DataFrame:
     return newest.select("entity", "mention_id", "builder", "at", each).select("entity", "mention_id", "builder", "at", "c.*")
 
 
-def truth_discovery(votes: DataFrame, prior: DataFrame, iterations: int = 8, tolerance: float = 1e-3, stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
+def truth_discovery(votes: DataFrame, prior: DataFrame, tolerance: float = 1e-3, most_rounds: int = 200, stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
     """Support of values and reliability of sources, from ``votes(item, value, source, n)``.
 
     ``item`` and ``value`` are hashes, ``source`` a string; ``prior(source, weight)`` starts
     the weights (0.5 where there is none). Returns ``(item, value, support)``, with support
     summing to 1 over an item, and ``(source, weight)``. Stops when no weight moves by
-    more than ``tolerance``. Null sources share one weight.
+    more than ``tolerance``; if ``most_rounds`` do not get there, an error says so. Null
+    sources share one weight.
     """
     stage = stage or Stage(votes.sparkSession, "truth")
     v = votes.withColumn("source", F.coalesce("source", F.lit("")))
     sources = v.select("source").distinct().join(prior.dropDuplicates(["source"]), "source", "left").select("source", F.coalesce("weight", F.lit(0.5)).alias("weight"))
     weights = stage.write(sources, "weights")
-    for i in range(iterations):
+    for _ in range(most_rounds):
         support = _support(v, weights)
         new = v.join(support, ["item", "value"]).groupBy("source").agg((F.sum(F.col("n") * F.col("support")) / F.sum("n")).alias("new"))
         both = stage.write(weights.join(new, "source").select("source", F.col("new").alias("weight"), F.abs(F.col("new") - F.col("weight")).alias("moved")), "weights")
         stage.drop(weights)
         weights = both
-        if i + 1 < iterations and (both.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+        if (both.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
             break
+    else:
+        raise RuntimeError(f"weights still move after {most_rounds} rounds")
     weights = weights.select("source", "weight")
     return _support(v, weights), weights
 

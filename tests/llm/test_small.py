@@ -66,6 +66,14 @@ def test_spans_join_neighbouring_hits_only():
     assert leakage.cut_words("One, TWO three  four.", [(1, 2)]) == "One,    four."
 
 
+def test_cut_words_counts_as_the_lowered_text_does():
+    for text in ("One İstanbul two", "a Kelvin b", "İ", "xİy z", "plain, OLD words-of 3"):
+        n = len(re.findall("[a-z0-9]+", text.lower()))
+        assert len(leakage._word_ends(text)) == n
+        assert re.findall("[a-z0-9]+", leakage.cut_words(text, [(0, n)]).lower()) == []
+    assert leakage.cut_words("a b c", [(1, 99)]) == "a  " and leakage.cut_words("a b", []) == "a b" and leakage.cut_words("", [(0, 1)]) == ""
+
+
 def test_answer_rules():
     q = "Where was the early ferry of Acme Foods opened during the spring session?"
     cases = {
@@ -90,6 +98,15 @@ def test_schedule_stays_within_one_block():
             assert done[i] == j
             done[i] += 1
             assert all(abs(d - (slot + 1) * n / whole) < 1 for d, n in zip(done, lengths))
+    for _ in range(50):
+        lengths = [rng.choice([1, 50, 10**6, 10**12]) for _ in range(rng.randint(1, 30))]
+        part = mixing.shares_of_period(lengths, 4096)
+        assert sum(part) == 4096 and min(part) >= 1 and all(abs(p - n * 4096 / sum(lengths)) < 2 + len(part) for p, n in zip(part, lengths))
+        # every period ends with whole shares, so the schedule may begin anew
+        done = [0] * len(part)
+        for i, _, _ in mixing.schedule(part, 4096):
+            done[i] += 1
+        assert done == part
     assert mixing.plan_quotas({}, {"a": 1.0}, {"a": 2}) == {}
     assert mixing.plan_quotas({"a": 10, "b": 100}, {"a": 0.5, "b": 0.5}, {"a": 3, "b": 3}) == {"a": 30, "b": 30}
     assert mixing.plan_quotas({"a": 10, "b": 100}, {"a": 0.5, "b": 0.5}, {"a": 3, "b": 3}, 100) == {"a": 30, "b": 50}

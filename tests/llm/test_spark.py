@@ -186,7 +186,7 @@ def test_mutual_neighbours_equal_brute_force_over_many_cells(spark):
     np.fill_diagonal(s, -2)
     near = {i: set(sorted(np.flatnonzero(s[i] >= 0.975), key=lambda j: (-s[i, j], j))[:5]) for i in range(len(x))}
     want = {(f"m{i:04d}", f"m{j:04d}") for i in near for j in near[i] if i < j and i in near[j]}
-    for options in ({}, {"cell_rows": 200, "sample_rows": 500}):
+    for options in ({}, {"cell_rows": 200, "sample_rows": 500}, {"cell_rows": 200, "sample_rows": 500, "task_rows": 90}):
         got = set(rows(neighbours.mutual_neighbours(_vectors(spark, x, nan), **options)))
         assert len(want - got) <= 0.02 * len(want) and len(got - want) <= 0.02 * len(want)
     assert rows(neighbours.mutual_neighbours(_vectors(spark, x).limit(0))) == []
@@ -245,6 +245,13 @@ def test_mixture_meets_targets(spark):
     assert all(abs(seen[k] - total * share[k]) < 1 for k in seen)
     starts = sorted((r["start"], r["n_tokens"]) for r in u if r["source"] == "Big Post")
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and starts[0][0] == 0
+    # a short period repeats, and blocks keep their order and shares
+    short = sorted((r["slot"], r["source"], r["start"], r["n_tokens"]) for r in mixing.mixture(docs, targets, block=64, period=16)[0].collect())
+    assert len(short) == len(u) and short[-1][0] > 100
+    at, seen, total = dict.fromkeys(share, -1), dict.fromkeys(share, 0), 0
+    for slot, k, start, n in short:
+        assert start > at[k]
+        at[k], seen[k], total = start, seen[k] + n, total + n
     for a, b in ((docs.limit(0), targets), (docs, targets.limit(0))):
         x, y = mixing.mixture(a, b)
         assert x.count() == 0
