@@ -64,9 +64,10 @@ def prose(text: str) -> tuple[str, int, float]:
     return out, len(_STOP.findall(out)), len(out) / total if total else 0.0
 
 
-def is_english(words: list[str]) -> bool:
-    counts = {k: sum(w in v for w in words) for k, v in _TELLING.items()}
-    return counts["en"] > 0 and counts["en"] * 20 >= len(words) and counts["en"] == max(counts.values())
+def is_english(words: Counter) -> bool:
+    """Whether counted words are English: one in 20 is telling, and no other language is told as often."""
+    counts = {k: sum(words[w] for w in v if w in words) for k, v in _TELLING.items()}
+    return counts["en"] > 0 and counts["en"] * 20 >= words.total() and counts["en"] == max(counts.values())
 
 
 def words_of(text: str | None, min_sentences: int = 3) -> Counter | None:
@@ -80,11 +81,14 @@ def words_of(text: str | None, min_sentences: int = 3) -> Counter | None:
     body, sentences, share = prose(text)
     if sentences < min_sentences or share < 0.5:
         return None
-    words = _WORD.findall(body)
-    if not is_english([w.lower() for w in words]):
+    words = Counter(_WORD.findall(body))
+    low: Counter = Counter()
+    for w, n in words.items():
+        low[w.lower()] += n
+    if not is_english(low):
         return None
-    small = [w for w in words if w[0].islower()]
-    return Counter(small if 4 * len(small) >= len(words) else [w.lower() for w in words])
+    small = Counter({w: n for w, n in words.items() if w[0].islower()})
+    return small if 4 * small.total() >= words.total() else low
 
 
 GRAPH = "doc_id long, words array<int>, counts array<float>"
@@ -149,7 +153,7 @@ def _doc_scores(batch: pa.RecordBatch, rarity: np.ndarray, score: np.ndarray) ->
         return row, word, weight, np.where(total > 0, f / total, np.nan)
 
 
-def grade(documents: DataFrame, labels: DataFrame, iterations: int = 12, tolerance: float = 1e-3, min_df: int = 3, fit_rows: int = 50_000) -> DataFrame:
+def grade(documents: DataFrame, labels: DataFrame, tolerance: float = 1e-3, most_rounds: int = 500, min_df: int = 3, fit_rows: int = 50_000) -> DataFrame:
     """``(doc_id, score, band)`` of every document of running English prose.
 
     ``labels`` grades some documents easy, mid or hard, ignoring case and white space;
@@ -158,7 +162,9 @@ def grade(documents: DataFrame, labels: DataFrame, iterations: int = 12, toleran
     tables and other languages have no row, whatever ``lang`` says. Words in fewer than
     ``min_df`` documents carry nothing. Cut points are fitted on up to ``fit_rows``
     graded documents; without graded documents there are no rows. A score of 0 is
-    easy, 1 mid and 2 hard, drawn towards the mean as harmonic functions are.
+    easy, 1 mid and 2 hard, drawn towards the mean as harmonic functions are. Rounds go
+    on until no word moves by ``tolerance``; if ``most_rounds`` do not get there, an
+    error says so.
     """
     spark = documents.sparkSession
     stage = Stage(spark, "reading")
@@ -183,7 +189,7 @@ def grade(documents: DataFrame, labels: DataFrame, iterations: int = 12, toleran
     rarity = spark.sparkContext.broadcast(rarity)
     score = np.full(BUCKETS, mean, np.float32)
     first = True
-    for _ in range(iterations):
+    for _ in range(most_rounds):
         held = spark.sparkContext.broadcast(score)
 
         def spread(batches: Iterator[pa.RecordBatch], held=held, first=first) -> Iterator[pa.RecordBatch]:
@@ -204,6 +210,8 @@ def grade(documents: DataFrame, labels: DataFrame, iterations: int = 12, toleran
         held.unpersist()
         if moved < tolerance:
             break
+    else:
+        raise RuntimeError(f"words still move by {moved} after {most_rounds} rounds")
     final = spark.sparkContext.broadcast(score)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
