@@ -188,7 +188,7 @@ def grade(documents: DataFrame, labels: DataFrame, tolerance: float = 1e-3, most
     rarity = np.where(df >= min_df, np.log(np.maximum(n_docs, 2) / np.maximum(df, 1)), 0.0).astype(np.float32)
     rarity = spark.sparkContext.broadcast(rarity)
     score = np.full(BUCKETS, mean, np.float32)
-    first = True
+    first, past = True, []
     for _ in range(most_rounds):
         held = spark.sparkContext.broadcast(score)
 
@@ -206,10 +206,11 @@ def grade(documents: DataFrame, labels: DataFrame, tolerance: float = 1e-3, most
         top, weight = _sums(graph.mapInArrow(spread, "word int, top double, weight double"), ["top", "weight"])
         new = np.where(weight > 0, top / np.maximum(weight, 1e-12), score).astype(np.float32)
         moved = float(np.abs(new - score).max())
-        score, first = new, False
         held.unpersist()
         if moved < tolerance:
+            score = new
             break
+        score, first = (new if first else ahead(past, score, new)), False
     else:
         raise RuntimeError(f"words still move by {moved} after {most_rounds} rounds")
     final = spark.sparkContext.broadcast(score)
@@ -226,6 +227,23 @@ def grade(documents: DataFrame, labels: DataFrame, tolerance: float = 1e-3, most
     return scores.select("doc_id", "score", band.alias("band"))
 
 
+def ahead(past: list[tuple[np.ndarray, np.ndarray]], score: np.ndarray, new: np.ndarray, memory: int = 4) -> np.ndarray:
+    """Where the next harmonic round should start: the mix of the last rounds that would have moved least.
+
+    The rounds' fixed point stays what it is, it is only reached in fewer of them. ``past`` has
+    (result, move) of the last rounds and is brought up to date.
+    """
+    move = (new - score).astype(np.float64)
+    step = new.astype(np.float64)
+    if past:
+        moves = np.stack([move - m for _, m in past], axis=1)
+        mix = np.linalg.lstsq(moves.T @ moves + 1e-12 * np.eye(len(past)), moves.T @ move, rcond=None)[0]
+        step = step - sum(k * (new - r) for k, (r, _) in zip(mix, past))
+    past.append((new.astype(np.float64), move))
+    del past[:-memory]
+    return np.clip(step, 0.0, len(BANDS) - 1.0).astype(np.float32)
+
+
 def cut_points(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """The two cuts of the sorted scores with the least total distance to the labels."""
     order = np.argsort(score, kind="stable")
