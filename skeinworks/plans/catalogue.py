@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_audit, q_graph, q_metrics, q_more, q_resolution, q_text  # noqa: F401
+from . import q_audit, q_graph, q_metrics, q_more, q_resolution, q_sources, q_text  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, toler
     last = lines.groupBy("file").agg(F.max("at").alias("last"))
     row = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     ok = F.try_parse_json("value")
-    j = lines.join(F.broadcast(last), "file").withColumn("ok", ok.isNotNull())
+    j = lines.join(last, "file").withColumn("ok", ok.isNotNull())
     # only the last line of a file may be broken
     broken = F.raise_error(F.concat(F.lit("broken line: "), F.substring("value", 1, 80))).cast("boolean")
     keep = F.when(F.col("ok"), F.lit(True)).when(F.col("at") < F.col("last"), broken).otherwise(F.lit(False))
@@ -56,6 +57,65 @@ def read_graphml_edges(spark: SparkSession, path: str) -> DataFrame:
     return e.select(F.least("_source", "_target").alias("source"), F.greatest("_source", "_target").alias("target")).where("source <> target").distinct()
 
 
+def read_graphml_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """Nodes ``(node, attributes)`` of a GraphML file; attributes by key."""
+    n = spark.read.format("xml").option("rowTag", "node").schema("_id string, data array<struct<_key: string, _VALUE: string>>").load(path)
+    pairs = F.filter(F.coalesce("data", F.array().cast("array<struct<_key: string, _VALUE: string>>")), lambda d: d["_key"].isNotNull())
+    return n.select(F.col("_id").alias("node"), F.map_from_entries(pairs).alias("attributes"))
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes a table beside the old one and then puts it in its place, so that readers never see half of it."""
+    spark = df.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fresh, target, old = (fs_path(path + suffix) for suffix in (".new", "", ".old"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(fresh, True)
+    df.write.parquet(path + ".new")
+    fs.delete(old, True)
+    if fs.exists(target):
+        fs.rename(target, old)
+    if not fs.rename(fresh, target):
+        raise OSError(f"cannot put {path} in place")
+    fs.delete(old, True)
+
+
+def run_id(prefix: str, payload: dict) -> str:
+    """Identity of a run: prefix and hash of its canonical JSON payload."""
+    body = json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return prefix + hashlib.sha256(body.encode()).hexdigest()[:24]
+
+
+def preflight(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """``(name, problem)`` of files that are missing, unknown or of another digest than ``expected(name, sha256)`` says."""
+    got = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
+    j = expected.select("name", "sha256").join(got, "name", "full")
+    problem = F.when(F.col("found").isNull(), "missing").when(F.col("sha256").isNull(), "unknown").when(F.col("sha256") != F.col("found"), "other_digest")
+    return j.select("name", problem.alias("problem")).where("problem is not null")
+
+
+def export_workspace(path: str, nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> None:
+    """Writes a graph and its chunks once: nodes by id, edges from the smaller to the greater end, chunks by id.
+
+    The same content again is no change; other content raises.
+    """
+    a, b = F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")
+    rest = [c for c in edges.columns if c not in ("source", "target")]
+    for name, df, key in (("nodes", nodes, ["node"]), ("edges", edges.select(a, b, *rest), ["source", "target"]), ("chunks", chunks, ["chunk_id"])):
+        write_immutable(df.repartitionByRange(*key).sortWithinPartitions(*key), f"{path}/{name}")
+
+
+def reopen_workspace(spark: SparkSession, path: str, chunks: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables of a workspace and what is wrong with them: ``(check_name, violations)``."""
+    from ..operators import audits, gates, graph
+
+    t = {n: spark.read.parquet(f"{path}/{n}") for n in ("nodes", "edges", "chunks")}
+    checks = graph.integrity(t["nodes"], "node", t["edges"], "source", "target")
+    if chunks is not None:
+        checks = checks.unionByName(gates.violations("exact_chunk_snapshot_reopened", audits.differing(t["chunks"], chunks, ["chunk_id"])))
+    return t, checks
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """CSV with a fixed field order; columns that are not listed are an error."""
     extra = set(df.columns) - set(columns)
@@ -102,7 +162,8 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
 
 def manifest(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """``(logical_name, digest, record_count, schema)`` of some tables, for reuse checks."""
-    rows = [(n, digest(d), int(digest(d).split(":")[0]), json.dumps(d.schema.jsonValue(), sort_keys=True)) for n, d in sorted(tables.items())]
+    found = [(n, digest(d), d) for n, d in sorted(tables.items())]
+    rows = [(n, h, int(h.split(":")[0]), json.dumps(d.schema.jsonValue(), sort_keys=True)) for n, h, d in found]
     return spark.createDataFrame(rows, "logical_name string, digest string, record_count long, schema string")
 
 

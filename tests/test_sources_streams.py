@@ -95,3 +95,35 @@ def test_stage_states(spark, tmp_path):
     run(out.writeStream.format("memory").queryName("s").outputMode("update"))
     assert {tuple(r) for r in spark.table("s").collect()} == {("a", "completed", 2), ("b", "claimed", 1)}
     assert os.path.isdir(src)
+
+
+def test_replacing_and_identities(spark, tmp_path):
+    import hashlib
+
+    path = str(tmp_path / "t")
+    files.replace_table(spark.range(5), path)
+    files.replace_table(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 3 and not os.path.exists(path + ".old") and not os.path.exists(path + ".new")
+    assert files.run_id("base_", {"b": 1, "a": "é"}) == files.run_id("base_", {"a": "é", "b": 1}) != files.run_id("base_", {"a": "e", "b": 1})
+    folder = tmp_path / "in"
+    folder.mkdir()
+    put(folder / "a.txt", "x")
+    put(folder / "b.txt", "y")
+    want = spark.createDataFrame([("a.txt", hashlib.sha256(b"x").hexdigest()), ("b.txt", "0"), ("c.txt", "0")], "name string, sha256 string")
+    assert sorted(map(tuple, files.preflight(spark, str(folder), want).collect())) == [("b.txt", "other_digest"), ("c.txt", "missing")]
+
+
+def test_graphml_nodes_and_workspaces(spark, tmp_path):
+    x = '<graphml><graph><node id="a"><data key="k">v</data><data key="t">w</data></node><node id="b"><data key="k">u</data></node></graph></graphml>'
+    got = {r["node"]: r["attributes"] for r in files.read_graphml_nodes(spark, put(tmp_path / "g.graphml", x)).collect()}
+    assert got == {"a": {"k": "v", "t": "w"}, "b": {"k": "u"}}
+    n, k = spark.createDataFrame([("a",), ("b",), (" ",)], "node string"), spark.createDataFrame([("c1",)], "chunk_id string")
+    e = spark.createDataFrame([("b", "a", 1), ("a", "z", 1), ("a", "a", 1)], "source string, target string, weight int")
+    path = str(tmp_path / "w")
+    files.export_workspace(path, n, e, k)
+    files.export_workspace(path, n, e, k)
+    with pytest.raises(GateError):
+        files.export_workspace(path, n.limit(1), e, k)
+    t, checks = files.reopen_workspace(spark, path, k)
+    assert {r[0]: r[1] for r in checks.collect()} == {"blank_nodes": 1, "dangling_ends": 1, "duplicate_edges": 0, "duplicate_nodes": 0, "loops": 1, "exact_chunk_snapshot_reopened": 0}
+    assert t["edges"].where("source > target").count() == 0
