@@ -79,7 +79,7 @@ def test_answer_rules():
     cases = {
         None: ["empty"], "": ["empty"], " \n": ["empty"], "...": ["empty"], "Answer:": ["empty"], "**": ["empty"], "null": ["empty"],
         "Port Reva": [], "Port Reva.": [], "The provided context does not say.": [], "The articles do not contain that information.": [],
-        "I can't help with that request.": ["refusal"], "Leider kann ich dazu keine Auskunft geben.": ["refusal"], "The council declined to answer reporters, but the article names Port Reva.": [],
+        "I can't help with that request.": ["refusal"], "Leider kann ich dazu keine Auskunft geben.": ["refusal", "wrong_language"], "The council declined to answer reporters, but the article names Port Reva.": [],
         q: ["question_copy"], f"{q} {q}": ["question_copy"], f'You asked: "{q}"': ["question_copy"], "Where was the early ferry of Acme Foods opened during?": ["question_copy"], f"{q} Port Reva": [],
         "Selon les articles, la réponse est Port Reva, comme le dit le second.": ["wrong_language"], "Да, обе статьи это подтверждают.": ["wrong_language"], "Port Reva. One headline reads \"Der Markt bleibt offen\".": [],
         "I think it is Port Reva, although the": ["truncated"], "Port Reva (": ["truncated"], "Both articles point to Port Reva. The first one says the": ["truncated"], 'It was "Port': ["truncated"],
