@@ -8,10 +8,13 @@ which the chi-square test says that a better neighbour would, with probability
 ``p``, have been projected nearer. Its k-th best distance shrinks as it verifies.
 
 The upper levels of the tree are fitted on a bounded sample and route vectors to
-cells; a query visits its own cell and those that its test radius reaches. The
-visitors of a cell are dealt out to several tasks, each of which indexes the cell's
-own vectors, so that no task grows with the crowd. Exact copies are collapsed to one
-vector first, so a vector that a third of all rows share is one point.
+cells. With few cells a vector visits those that its test radius reaches; of two cells
+one is visited from the other, and there both sides ask. The visitors of a cell are
+dealt out to several tasks, each of which indexes the cell's own vectors, so that no
+task grows with the crowd. The cells in reach become more as cells do, by far the
+most of them without a neighbour; where that ships more, nobody visits, and several
+trees of independent projections bring neighbours together in one of them. Exact copies
+are collapsed to one vector first, so a vector that a third of all rows share is one point.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from ..runtime import Stage, pick
 
 SEED = 20090
 VERIFY = 4096
+#: The share of neighbours that meet is measured with so many partners of each sampled vector, in each of so many regions.
+PARTNERS, REGIONS = 4, 32
+#: Visits miss far fewer neighbours than they may, since a box is nearer than what it holds; trees may miss this share of it only.
+STRICT = 0.1
 
 
 def chi2_quantile(p: float, m: int) -> float:
@@ -53,8 +60,8 @@ def chi2_quantile(p: float, m: int) -> float:
     return hi
 
 
-def projection(dim: int, m: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((dim, m)).astype(np.float32)
+def projection(dim: int, m: int, number: int = 0) -> np.ndarray:
+    return np.random.default_rng(SEED + number).standard_normal((dim, m)).astype(np.float32)
 
 
 class Tree:
@@ -68,7 +75,7 @@ class Tree:
         self.right: list[int] = []
         self.leaf: list[int] = []
         self.cut: list[tuple[int, float]] = []
-        m = points.shape[1]
+        self.directions = m = points.shape[1]
         inf = np.full(m, np.inf, np.float32)
         self._add(points, np.arange(len(points)), leaf, (-inf, inf) if open_boxes else None)
 
@@ -139,31 +146,32 @@ class Tree:
                 todo += [(far, idx), (near, idx)]
 
 
-def search(base: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, m: int, chi: float, max_d2: float, leaf: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def search(base: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, m: int, chi: float, max_d2: float, leaf: int = 64, number: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The k best base rows of each query by cosine: (row or -1, cosine).
 
     ``own`` is the base row that a query is itself (or -1); it is never its own neighbour.
+    ``number`` is that of the projection.
     """
-    a = projection(base.shape[1], m)
+    a = projection(base.shape[1], m, number)
     pb, pq = base @ a, queries @ a
     tree = Tree(pb, leaf)
     n = len(queries)
     best_s = np.full((n, k), np.float32(1 - max_d2 / 2) - np.float32(1e-6), np.float32)
     best_i = np.full((n, k), -1, np.int64)
 
-    def verify(members: np.ndarray, idx: np.ndarray) -> None:
+    def verify(members: np.ndarray, idx: np.ndarray, at_home: bool = False) -> None:
         """Offers all members to the queries, in blocks of bounded memory."""
         for b in range(0, len(members), VERIFY):
             for c in range(0, len(idx), VERIFY):
-                offer(members[b : b + VERIFY], idx[c : c + VERIFY])
+                offer(members[b : b + VERIFY], idx[c : c + VERIFY], at_home)
 
-    def offer(members: np.ndarray, idx: np.ndarray) -> None:
+    def offer(members: np.ndarray, idx: np.ndarray, at_home: bool) -> None:
         s = queries[idx] @ base[members].T
-        s[own[idx][:, None] == members[None, :]] = -2
-        row, col = np.nonzero(s > best_s[idx, k - 1][:, None])
-        if not len(row):
+        if at_home:  # only there is a query among the members
+            s[own[idx][:, None] == members[None, :]] = -2
+        hit = np.flatnonzero(s.max(1, initial=-2) > best_s[idx, k - 1])
+        if not len(hit):
             return
-        hit, first = np.unique(row, return_index=True)
         # offer the members to the queries hit, several at a time in rank order
         full = s[hit]
         take = min(k, full.shape[1])
@@ -185,7 +193,7 @@ def search(base: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, m: in
     for i, members in enumerate(tree.leaves):
         mine = order[bounds[i] : bounds[i + 1]]
         if len(mine):
-            verify(members, mine)
+            verify(members, mine, True)
 
     def radius2(idx: np.ndarray) -> np.ndarray:
         return 2 * (1 - best_s[idx, k - 1]) * np.float32(chi)
@@ -195,6 +203,69 @@ def search(base: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, m: in
     return best_i, best_s
 
 
+def visits_from(home: np.ndarray, cell: int) -> np.ndarray:
+    """Whether vectors of these homes visit the cell; of any two cells one is visited from the other."""
+    return (home != cell) & ((home < cell) ^ ((home + cell) % 2 == 1))
+
+
+def meeting_trees(top: np.ndarray, leaf: int, max_d2: float, p: float, most: float) -> list[Tree] | None:
+    """Trees of independent projections, fewer than ``most``, in which neighbours share a cell often enough.
+
+    Each vector of the sample ``top`` gets partners at the edge of the radius. Trees are added
+    until, in every region of the sample, a search that finds with probability ``p`` what shares
+    its cell misses at most ``STRICT * (1 - p)`` of the partners. Crowds, which the trees cut through, keep
+    apart however many there are; then there is no such list. A tree has a direction for each
+    of its levels, since a second cut of the same one parts more neighbours than the first.
+    """
+    dim, levels = top.shape[1], math.ceil(math.log2(len(top) / leaf)) + 1
+    rng = np.random.default_rng(SEED)
+    x = np.tile(top, (PARTNERS, 1))
+    aside = rng.standard_normal(x.shape).astype(np.float32)
+    aside -= x * np.einsum("ij,ij->i", x, aside)[:, None]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cos = 1 - max_d2 / 2
+    partner = np.float32(cos) * x + np.float32(math.sqrt(max(0.0, 1 - cos * cos))) * aside
+    a = projection(dim, levels, -1)
+    regions = Tree(top @ a, max(1, len(top) // REGIONS), open_boxes=True)
+    region = regions.home(x @ a)
+    size = np.maximum(1, np.bincount(region, minlength=len(regions.leaves)))
+    missed, trees = np.ones(len(x)), []
+    while len(trees) + 1 < most:
+        a = projection(dim, levels, len(trees))
+        trees.append(Tree(top @ a, leaf, open_boxes=True))
+        missed[trees[-1].home(x @ a) == trees[-1].home(partner @ a)] *= 1 - p
+        worst, goal = (np.bincount(region, missed, len(regions.leaves)) / size).max(), STRICT * (1 - p)
+        if worst <= goal:
+            return trees
+        if len(trees) > 1 and worst >= goal ** (len(trees) / most):  # the first trees gain most, so it would take more
+            return None
+    return None
+
+
+def routes(top: np.ndarray, n: int, cells: int, m: int, max_d2: float, p: float, task_rows: int) -> tuple[list[tuple[Tree, np.ndarray, np.ndarray]], float]:
+    """``(tree, tasks of each cell, number of the first)`` of each tree, and how often a vector is sent.
+
+    ``top`` is a sample of the ``n`` unit vectors. One tree means that its cells are visited.
+    """
+    if cells < 2:
+        return [(Tree(np.zeros((1, m), np.float32), 1, open_boxes=True), np.ones(1, np.int64), np.zeros(1, np.int64))], 1.0
+    leaf, scale = -(-len(top) // cells), n / len(top)  # rounded up, else an odd row more makes two cells of one
+    q = top @ projection(top.shape[1], m)
+    tree = Tree(q, leaf, open_boxes=True)
+    home, reach = tree.home(q), np.float32(max_d2 * chi2_quantile(p, m))
+    own = np.bincount(home, minlength=len(tree.leaves))
+    crowd = own.copy()
+    for cell, idx in tree.visits(q, lambda i: reach):
+        crowd[cell] += np.count_nonzero(visits_from(home[idx], cell))
+    tasks = np.maximum(1, np.ceil(crowd * scale / task_rows)).astype(np.int64)
+    sent = float((crowd + (tasks - 1) * own).sum() / len(top))
+    trees = meeting_trees(top, leaf, max_d2, p, sent)
+    if trees is None:
+        return [(tree, tasks, np.cumsum(tasks) - tasks)], sent
+    ends = np.cumsum([0, *(len(t.leaves) for t in trees)])
+    return [(t, np.ones(len(t.leaves), np.int64), at + np.arange(len(t.leaves))) for t, at in zip(trees, ends[:-1], strict=True)], float(len(trees))
+
+
 def usable_vectors(rows: DataFrame, id_col: str, vector: str, dim: int, newest: str | None = None) -> DataFrame:
     """``(id, v)`` of the rows whose vector counts, one row an id.
 
@@ -247,8 +318,9 @@ def nearest(
     neighbours within the Euclidean ``max_distance`` of the unit vectors are
     reported (2 for all). A neighbour within a query's k-th distance is missed with
     a probability of at most ``1 - p``. Equal cosines rank by id. Every vector is
-    indexed; only the upper tree is fitted on a sample of ``sample_rows``, which also tells
-    how many tasks a cell needs so that each holds about ``task_rows`` visitors.
+    indexed; only the upper trees are fitted on a sample of ``sample_rows``, which also tells
+    whether cells are visited or several trees are used, and how many tasks a cell needs
+    so that each holds about ``task_rows`` visitors.
 
     Exact copies of a vector are one point of the index. Its first ``k + 1`` ids stand
     for it in the neighbour lists of others; each copy has the first others as its own.
@@ -261,57 +333,68 @@ def nearest(
     cells = max(1, -(-n // cell_rows))
     chi, max_d2 = chi2_quantile(p, m), max_distance**2
     reach = np.float32(max_d2 * chi)
+    top = np.zeros((0, dim))
     if cells > 1:
         sample = points.select("v").sample(min(1.0, sample_rows / n), SEED)
         top = np.array([r["v"] for r in sample.limit(2 * sample_rows).collect()], np.float64)
-        top = (top / np.linalg.norm(top, axis=1, keepdims=True)).astype(np.float32) @ projection(dim, m)
-        tree = Tree(top, max(1, len(top) // cells), open_boxes=True)
-        crowd = np.zeros(len(tree.leaves))
-        for cell, idx in tree.visits(top, lambda i: reach):
-            crowd[cell] += len(idx)
-        tasks = np.maximum(1, np.ceil(crowd * (n / len(top)) / task_rows)).astype(np.int64)
-    else:
-        tree, tasks = Tree(np.zeros((1, m), np.float32), 1, open_boxes=True), np.ones(1, np.int64)
-    router = spark.sparkContext.broadcast((tree, tasks, np.cumsum(tasks) - tasks))
+        top = (top / np.linalg.norm(top, axis=1, keepdims=True)).astype(np.float32)
+    plan, _ = routes(top, n, cells, m, max_d2, p, task_rows)
+    router = spark.sparkContext.broadcast(plan)
+    starts = [int(first[0]) for _, _, first in plan]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = projection(dim, m)
-        tree, tasks, first = router.value
         for batch in batches:
             ids, v = batch.column(0), batch.column(1)
-            q = _unit(v, dim) @ a
-            home = tree.home(q)
+            x = _unit(v, dim)
             seat = np.array([zlib.crc32(i.encode()) for i in ids.to_pylist()], np.int64)
 
-            def send(cell: int, idx: np.ndarray, base: np.ndarray, asks: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+            def send(task: np.ndarray, idx: np.ndarray, base: bool, asks: bool) -> pa.RecordBatch:
                 take = pa.array(idx)
-                return pa.RecordBatch.from_arrays([pa.array(first[cell] + part), pa.array(base), pa.array(asks), ids.take(take), v.take(take)], names=["task", "base", "asks", "id", "v"])
-
-            for cell, idx in tree.visits(q, lambda i: reach):
-                # a visitor asks in one task of the cell; the cell's own vectors are in all of them and ask in one
-                own, part = home[idx] == cell, seat[idx] % tasks[cell]
-                yield send(cell, idx, own, np.ones(len(idx), bool), part)
-                mine, seats = idx[own], part[own]
-                for k in range(1, tasks[cell]):
-                    yield send(cell, mine, np.ones(len(mine), bool), np.zeros(len(mine), bool), (seats + k) % tasks[cell])
+                flag = lambda x: pa.array(np.full(len(idx), x))
+                return pa.RecordBatch.from_arrays([pa.array(task), flag(base), flag(asks), ids.take(take), v.take(take)], names=["task", "base", "asks", "id", "v"])
+
+            for number, (tree, tasks, first) in enumerate(router.value):
+                q = x @ projection(dim, tree.directions, number)
+                home = tree.home(q)
+                # a cell's own vectors are in all of its tasks and ask each other in one; a visitor is in one
+                for turn in range(int(tasks[home].max(initial=0))):
+                    mine = np.flatnonzero(tasks[home] > turn)
+                    at = home[mine]
+                    yield send(first[at] + (seat[mine] + turn) % tasks[at], mine, True, turn == 0)
+                if len(router.value) > 1:
+                    continue
+                for cell, idx in tree.visits(q, lambda i: reach):
+                    idx = idx[visits_from(home[idx], cell)]
+                    if len(idx):
+                        yield send(first[cell] + seat[idx] % tasks[cell], idx, False, True)
 
     def solve(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        x = _unit(t["v"].combine_chunks(), dim)
-        base, asks = np.flatnonzero(t["base"].to_numpy()), np.flatnonzero(t["asks"].to_numpy())
+        x, ids = _unit(t["v"].combine_chunks(), dim), t["id"].combine_chunks()
+        is_base = t["base"].to_numpy()
+        base, asks, visitors = np.flatnonzero(is_base), np.flatnonzero(t["asks"].to_numpy()), np.flatnonzero(~is_base)
+        number = int(np.searchsorted(starts, t["task"][0].as_py(), "right")) - 1
         own = np.full(len(x), -1, np.int64)
         own[base] = np.arange(len(base))
-        i, s = search(x[base], x[asks], own[asks], k, m, chi, max_d2)
-        q, c = np.nonzero(i >= 0)
-        ids = t["id"].combine_chunks()
-        one, other = asks[q], base[i[q, c]]
-        a, b = x[one].astype(np.float64), x[other].astype(np.float64)
-        return pa.table({"id": ids.take(pa.array(one)), "neighbour": ids.take(pa.array(other)), "cosine": np.einsum("ij,ij->i", a, b)})
+
+        def best(asks: np.ndarray, others: np.ndarray, own: np.ndarray) -> pa.Table:
+            i, _ = search(x[others], x[asks], own, k, m, chi, max_d2, number=number)
+            q, c = np.nonzero(i >= 0)
+            one, other = asks[q], others[i[q, c]]
+            a, b = x[one].astype(np.float64), x[other].astype(np.float64)
+            return pa.table({"id": ids.take(pa.array(one)), "neighbour": ids.take(pa.array(other)), "cosine": np.einsum("ij,ij->i", a, b)})
+
+        found = [best(asks, base, own[asks])]
+        if len(visitors):
+            found.append(best(base, visitors, np.full(len(base), -1, np.int64)))
+        return pa.concat_tables(found)
 
     # a fixed number, since tasks that search for long are not to be coalesced by their few bytes
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * int(tasks.sum()))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * sum(int(tasks.sum()) for _, tasks, _ in plan))
     routed = points.select("id", "v").mapInArrow(route, schema).repartition(partitions, "task")
     found = routed.groupBy("task").applyInArrow(solve, "id string, neighbour string, cosine double")
+    if len(plan) > 1:  # some meet in several trees
+        found = found.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     if members is None:
         lists = found
     else:

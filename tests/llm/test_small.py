@@ -184,3 +184,27 @@ def test_short_forms_stay_forms_however_frequent():
     r = names.Reader(["nicholas", "nick", "vincent", "summit", "console"])
     key = lambda n: (lambda x: (x["head"], tuple(x["mods"])))(r.read(n))
     assert key("Nick Tenounian") == key("Nicholas Tenounian") and key("Vinc. Tenounian") == key("Vincent Tenounian") and key("Sumit Zera") == key("Zera Summit")
+
+
+def test_routes_visit_from_one_side_or_meet_in_trees():
+    cells = np.arange(9)
+    for cell in cells:
+        there, back = neighbours.visits_from(cells, cell), np.array([neighbours.visits_from(np.array([cell]), c)[0] for c in cells])
+        assert not there[cell] and (there ^ back)[cells != cell].all()
+    rng = np.random.default_rng(19)
+    top = rng.standard_normal((8000, 32)).astype(np.float32)
+    top /= np.linalg.norm(top, axis=1, keepdims=True)
+    plan, sent = neighbours.routes(top, 10**7, 500, 6, 0.05, 0.95, 262144)
+    assert 1 < len(plan) == sent <= 11
+    ends = np.concatenate([first + tasks for _, tasks, first in plan])
+    assert ends.tolist() == list(range(1, len(ends) + 1))
+    few, sent = neighbours.routes(top, 500_000, 8, 6, 0.05, 0.95, 262144)
+    assert len(few) == 1 and 1 < sent < 3
+    for odd in (7993, 7999):  # a row more or less in the sample makes no more cells
+        assert len(neighbours.routes(top[:odd], 500_000, 8, 6, 0.05, 0.95, 262144)[0][0][0].leaves) == 8
+    # trees would cut through a crowd, whose members are all near: its cells are visited
+    crowd = top[:1] + 1e-3 * top
+    crowd /= np.linalg.norm(crowd, axis=1, keepdims=True)
+    assert len(neighbours.routes(crowd, 10**6, 16, 6, 0.05, 0.95, 262144)[0]) == 1
+    half = np.concatenate([top[:4000], crowd[4000:]])
+    assert len(neighbours.routes(half, 10**6, 16, 6, 0.05, 0.95, 262144)[0]) == 1

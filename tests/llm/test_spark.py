@@ -192,6 +192,35 @@ def test_mutual_neighbours_equal_brute_force_over_many_cells(spark):
     assert rows(neighbours.mutual_neighbours(_vectors(spark, x).limit(0))) == []
 
 
+def _shuffled(spark, run):
+    """Most records that a stage of the run shuffled."""
+    jvm, bus = spark._jvm, spark.sparkContext._jsc.sc().listenerBus()
+    none, status = jvm.java.util.ArrayList, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        bus.waitUntilEmpty(30_000)
+        got = status.stageList(none(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none())
+        return {got.apply(i).stageId(): got.apply(i).shuffleWriteRecords() for i in range(got.size())}
+
+    before = stages()
+    out = run()
+    return out, max(n for stage, n in stages().items() if stage not in before)
+
+
+def test_neighbours_over_very_many_cells_meet_without_visiting_them_all(spark):
+    rng = np.random.default_rng(18)
+    x = rng.standard_normal((4000, 32)).astype(np.float32)
+    x[1::10] = x[::10] + 0.07 * rng.standard_normal((400, 32)).astype(np.float32) * np.linalg.norm(x[::10], axis=1)[:, None] / 5.66
+    u = x.astype(np.float64) / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    near = {i: set(sorted(np.flatnonzero(s[i] >= 0.975), key=lambda j: (-s[i, j], j))[:5]) for i in range(len(x))}
+    want = {(f"m{i:04d}", f"m{j:04d}") for i in near for j in near[i] if i < j and i in near[j]}
+    got, most = _shuffled(spark, lambda: rows(neighbours.mutual_neighbours(_vectors(spark, x), cell_rows=40, sample_rows=4000)))
+    assert len(want) >= 400 and set(got) <= want and len(got) == len(set(got)) >= 0.99 * len(want)
+    assert most <= 10 * len(x)
+
+
 def test_general_neighbours_have_recall(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((600, 32)).astype(np.float32)
