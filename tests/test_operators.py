@@ -195,6 +195,29 @@ def test_jaccard_of_every_pair(spark):
     assert rows(graph.jaccard_matrix(df, "g", "i")) == sorted(want, key=repr)
 
 
+def test_local_edges_of_an_item_of_every_group(spark):
+    # the hub is in every group and on every edge: each edge is local to one group only
+    n = 300
+    m = spark.createDataFrame([(g, "hub") for g in range(n)] + [(g, f"x{g}") for g in range(n)] + [(0, "x0"), (1, None)], "g int, i string")
+    e = spark.createDataFrame([("hub", f"x{g}", g) for g in range(n)] + [("x0", "x1", -1), ("nobody", "hub", -2)], "a string, b string, w int")
+    assert sorted((r["a"], r["b"], r["g"]) for r in joins.local_edges(e, "a", "b", m, "g", "i").collect()) == sorted(("hub", f"x{g}", g) for g in range(n))
+    # what a join hands on is bounded by the edges and groups, not by their product
+    probe = joins.local_edges(e, "a", "b", m, "g", "i")
+    probe.collect()
+    assert most_rows(probe._jdf.queryExecution().executedPlan()) <= 4 * n
+
+
+def most_rows(plan) -> int:
+    """The most rows that one operator of an executed plan gave."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return most_rows(plan.executedPlan())
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        return most_rows(plan.plan())
+    made = plan.metrics().get("numOutputRows")
+    below = plan.children()
+    return max([made.get().value() if made.isDefined() else 0, *(most_rows(below.apply(i)) for i in range(below.size()))])
+
+
 def test_pipeline_with_a_judge(spark):
     from skeinworks.plans import pipeline
 
