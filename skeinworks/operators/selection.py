@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..runtime import Stage
 from . import retrieval
 
 
@@ -138,63 +140,108 @@ def greedy_select(candidates: DataFrame, item: str, value: str, caps: dict[str,
     return c.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(solve, f"{item} {kind}, position long")
 
 
-def facility_negatives(scores: DataFrame, documents: DataFrame, query: str, doc: str, size: int, caps: dict[str, int], seed: str, max_documents: int = 200_000) -> DataFrame:
+def facility_negatives(scores: DataFrame, documents: DataFrame, query: str, doc: str, size: int, caps: dict[str, int], seed: str, keep: int = 256) -> DataFrame:
     """``(doc, position, owner, gain)``: documents that together stay as close as possible to all queries.
 
     ``scores`` has the eligible ``(query, doc, score)``, ``documents`` the capped columns. A
     query is covered by the highest of its scores, relative to its best one, among the
     chosen; the next document is the one that adds most, of equals the one whose groups are
     used least, then the one of smallest hash. If caps leave nothing, all caps grow by one.
-    ``owner`` is the query that gained most. Gains only shrink, so a document is looked at
-    again only when its last gain still leads. The choice is sequential and runs on the
-    driver over at most ``max_documents`` documents; more are an error.
-    """
-    import heapq
+    ``owner`` is the query that gained most.
 
+    Documents stay on the executors. A pass ranks all that may be chosen and gives the driver
+    the first ``keep``. Gains only shrink, so these settle the choice until none of them gains
+    more than the last of them did; the first of a pass is always right, so there are at most
+    as many passes as choices and one more a growth of the caps. The driver holds one figure
+    a query.
+    """
     spark = scores.sparkSession
     cols = sorted(caps)
-    s = scores.where("score > 0").groupBy(query, doc).agg(F.max("score").alias("score"))
-    best = s.groupBy(query).agg(F.max("score").alias("best"))
-    rows = s.join(best, query).select(F.col(doc).alias("d"), F.struct(F.col(query).alias("q"), (F.col("score") / F.col("best")).alias("s")).alias("x"))
-    rows = rows.groupBy("d").agg(F.array_sort(F.collect_list("x")).alias("near")).join(documents.select(F.col(doc).alias("d"), *cols).dropDuplicates(["d"]), "d").limit(max_documents + 1).collect()
-    if len(rows) > max_documents:
-        raise ValueError(f"more than {max_documents} eligible documents")
-    tie = {r["d"]: hashlib.sha256(f"{seed}\0{r['d']}".encode()).hexdigest() for r in rows}
-    by_doc = {r["d"]: r for r in rows}
-    covered: dict[object, float] = {}
+    stage = Stage(spark, "facility")
+    s = stage.write(scores.where("score > 0").groupBy(query, doc).agg(F.max("score").alias("score")), "scores")
+    best = s.groupBy(query).agg(F.max("score").alias("best")).orderBy(query).collect()
+    asked = [r[query] for r in best]
+    kind = lambda c: scores.schema[c].dataType.simpleString()
+    numbered = spark.createDataFrame([(q, i, r["best"]) for i, (q, r) in enumerate(zip(asked, best))], f"{query} {kind(query)}, i int, best double")
+    near = s.join(F.broadcast(numbered), query).select(F.col(doc).alias("d"), F.struct("i", (F.col("score") / F.col("best")).alias("s")).alias("x"))
+    near = near.groupBy("d").agg(F.array_sort(F.collect_list("x")).alias("near")).select("d", F.col("near.i").alias("i"), F.col("near.s").alias("s"))
+    tie = F.sha2(F.concat_ws("\x00", F.lit(seed), F.col("d").cast("string")), 256)
+    groups = documents.select(F.col(doc).alias("d"), F.struct(F.lit(0), *cols).alias("g")).dropDuplicates(["d"])
+    rows = near.join(groups, "d").select("d", "g", tie.alias("tie"), "i", "s")
+    plain = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = [pa.array([np.asarray(x, t).tobytes() for x in b.column(c).to_pylist()], pa.binary()) for c, t in ((3, np.int32), (4, np.float64))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *flat], names=["d", "g", "tie", "i", "s"])
+
+    rows = stage.write(rows.mapInArrow(pack, f"d {plain['d']}, g {plain['g']}, tie string, i binary, s binary"), "near")
+    covered = np.zeros(len(asked))
     used: dict[tuple[str, object], int] = {}
     limit = dict(caps)
+    taken: set[object] = set()
+
+    def groups_of(g: dict) -> list[tuple[str, object]]:
+        return [(c, g[c]) for c in cols]
 
-    def gain(d: object) -> float:
-        return round(sum(max(0.0, x["s"] - covered.get(x["q"], 0.0)) for x in by_doc[d]["near"]), 15)
+    def free(g: dict) -> bool:
+        return all(used.get(x, 0) < limit[x[0]] for x in groups_of(g))
 
-    def rank(d: object, g: float) -> tuple:
-        return (-g, *(used.get((c, by_doc[d][c]), 0) for c in cols), tie[d])
+    def gain(i: np.ndarray, x: np.ndarray) -> float:
+        return round(sum(np.maximum(x - covered[i], 0.0).tolist()), 15)
 
-    heap = [(rank(d, gain(d)), d) for d in by_doc]
-    heapq.heapify(heap)
-    out, waiting = [], []
-    while len(out) < size and (heap or waiting):
-        if not heap:  # all that are left are capped
+    def first() -> list[tuple]:
+        """The documents that may be chosen, in order, as ``(gain, d, groups, tie, i, s)``; ``keep`` of them at most."""
+        state = spark.sparkContext.broadcast((covered.copy(), dict(used), dict(limit), set(taken)))
+
+        def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cover, used, limit, taken = state.value
+            top: list[tuple] = []
+            for b in batches:
+                bytes_ = [b.column(k) for k in (3, 4)]
+                ids, gs, ties = (b.column(k).to_pylist() for k in range(3))
+                for n, (d, g, t) in enumerate(zip(ids, gs, ties)):
+                    uses = [used.get((c, g[c]), 0) for c in cols]
+                    if d in taken or any(u >= limit[c] for u, c in zip(uses, cols)):
+                        continue
+                    i, x = (np.frombuffer(v[n].as_buffer(), k) for v, k in zip(bytes_, (np.int32, np.float64)))
+                    add = np.maximum(x - cover[i], 0.0)
+                    if len(top) >= keep and float(add.sum()) + 1e-9 < -top[keep - 1][0][0]:
+                        continue
+                    top.append(((-round(sum(add.tolist()), 15), *uses, t), d, g, i.tobytes(), x.tobytes()))
+                    if len(top) >= 2 * keep:
+                        top = sorted(top, key=lambda x: x[0])[:keep]
+            top = sorted(top, key=lambda x: x[0])[:keep]
+            cells = [[x[0][0] for x in top], [x[0][1:-1] for x in top], [x[0][-1] for x in top], *([x[k] for x in top] for k in range(1, 5))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, shape)], schema=shape)
+
+        shape = pa.schema([("loss", pa.float64()), ("uses", pa.list_(pa.int64())), ("tie", pa.string()), ("d", to_arrow_type(rows.schema["d"].dataType)), ("g", to_arrow_type(rows.schema["g"].dataType)), ("i", pa.binary()), ("s", pa.binary())])
+        got = rows.mapInArrow(rank, f"loss double, uses array<bigint>, tie string, d {plain['d']}, g {plain['g']}, i binary, s binary")
+        out = [(-r["loss"], r["d"], r["g"].asDict(), r["tie"], np.frombuffer(r["i"], np.int32), np.frombuffer(r["s"])) for r in got.orderBy("loss", "uses", "tie").limit(keep).collect()]
+        state.unpersist()
+        return out
+
+    out: list[tuple] = []
+    total = rows.count()
+    while len(out) < min(size, total):
+        top = first()
+        if not top:  # all that are left are capped
             limit = {c: n + 1 for c, n in limit.items()}
-            heap, waiting = [(rank(d, gain(d)), d) for d in waiting], []
-            heapq.heapify(heap)
-        old, d = heapq.heappop(heap)
-        if any(used.get((c, by_doc[d][c]), 0) >= limit[c] for c in cols):
-            waiting.append(d)
             continue
-        g = gain(d)
-        if rank(d, g) != old:
-            heapq.heappush(heap, (rank(d, g), d))
-            continue
-        near = by_doc[d]["near"]
-        owner = min(near, key=lambda x: (-max(0.0, x["s"] - covered.get(x["q"], 0.0)), -x["s"], str(x["q"])))["q"]
-        for x in near:
-            covered[x["q"]] = max(covered.get(x["q"], 0.0), x["s"])
-        for c in cols:
-            used[c, by_doc[d][c]] = used.get((c, by_doc[d][c]), 0) + 1
-        out.append((d, len(out) + 1, owner, round(g, 12)))
-    kind = lambda c: scores.schema[c].dataType.simpleString()
+        bound, fresh = (top[-1][0] if len(top) == keep else None), True
+        while len(out) < size:
+            ranked = [(-gain(i, x), *(used.get(y, 0) for y in groups_of(g)), t, n) for n, (_, d, g, t, i, x) in enumerate(top) if d not in taken and free(g)]
+            if not ranked or not fresh and bound is not None and -min(ranked)[0] <= bound + 1e-12:
+                break
+            fresh = False
+            g, (_, d, group, _, i, x) = -min(ranked)[0], top[min(ranked)[-1]]
+            add = np.maximum(x - covered[i], 0.0)
+            owner = min(range(len(i)), key=lambda n: (-add[n], -x[n], str(asked[i[n]])))
+            covered[i] = np.maximum(covered[i], x)
+            for y in groups_of(group):
+                used[y] = used.get(y, 0) + 1
+            taken.add(d)
+            out.append((d, len(out) + 1, asked[i[owner]], round(g, 12)))
     return spark.createDataFrame(out, f"{doc} {kind(doc)}, position long, owner {kind(query)}, gain double")
 
 

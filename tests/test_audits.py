@@ -109,6 +109,21 @@ def test_facility_negatives_equal_a_plain_greedy(spark):
     assert selection.facility_negatives(s.limit(0), k, "q", "d", 3, {"src": 1}, "x").count() == 0
 
 
+def test_facility_negatives_leave_documents_on_the_executors(spark):
+    # few documents reach the driver at a time, and the choice is that of all at once
+    s = spark.range(4000).selectExpr("id as d", "explode(sequence(0, 19)) as q").selectExpr("q", "d", "round(pmod(hash(q, d), 997) / 100.0, 2) as score").withColumn("score", F.col("score").cast("double"))
+    k = spark.range(4000).selectExpr("id as d", "cast(id % 3 as string) as src", "cast(nullif(id % 7, 0) as string) as cat")
+    caps = {"src": 3, "cat": 2}
+    few, all_ = ([tuple(r) for r in selection.facility_negatives(s, k, "q", "d", 25, caps, "x", keep=n).orderBy("position").collect()] for n in (2, 4000))
+    assert few == all_ and len(few) == 25
+    old = spark.conf.get("spark.driver.maxResultSize", "1g")
+    try:
+        spark.sparkContext._jsc.sc().conf().set("spark.driver.maxResultSize", "400k")
+        assert [tuple(r) for r in selection.facility_negatives(s, k, "q", "d", 25, caps, "x", keep=16).orderBy("position").collect()] == all_
+    finally:
+        spark.sparkContext._jsc.sc().conf().set("spark.driver.maxResultSize", old)
+
+
 def test_answer_holders_read_whole_texts(spark):
     d = spark.createDataFrame([(1, "x " * 5000 + "Port, Reva!"), (2, "airport reva"), (3, None), (4, "")], "doc_id long, text string")
     q = spark.createDataFrame([("q1", "Port Reva"), ("q2", "port-reva"), ("q3", "Yes"), ("q4", None), ("q5", "...")], "q string, answer string")
