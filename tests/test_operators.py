@@ -230,6 +230,16 @@ def test_pipeline_with_a_judge(spark):
     assert "merge" in actions and out["entities"].count() < out["profiles"].count() and not asked
 
 
+def test_pipeline_meets_every_pair_of_a_large_block(spark):
+    from skeinworks.plans import pipeline
+
+    n = 210
+    names = ["".join(c.upper() if i >> k & 1 else c for k, c in enumerate("acmecorp")) for i in range(n)]
+    m = spark.createDataFrame([(x, "organization", f"d{i}", f"c{i}", None) for i, x in enumerate(names)], "original_name string, entity_type string, document_id string, chunk_id string, description string")
+    got = pipeline.resolve_entities(m)["candidates"].where("methods = 'acronym,containment,exact_name,fuzzy_name'").count()
+    assert got == n * (n - 1) // 2
+
+
 def test_model_calls_retry_and_cache(spark):
     from skeinworks.operators import models
 
